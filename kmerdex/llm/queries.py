@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan
+from . import bpe, decontaminate, license_scan, simhash
 
 QUERIES = {
     "op2_license_scan": license_scan.op2_license_scan,
+    "op6_simhash": simhash.op6_simhash,
+    "op8_bpe": bpe.op8_bpe,
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 ORACLE = {

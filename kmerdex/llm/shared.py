@@ -175,3 +175,26 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if (label[a] == label[b]).all():
             break
     return label
+
+
+def extended(df: DataFrame, text: str, make, fields: str) -> DataFrame:
+    """df with the columns of fields (a DDL list), which make()(texts) computes as Arrow arrays for each slice of texts.
+
+    Columns of df that have one of those names are replaced; all others pass through untouched.
+    """
+    from pyspark.sql.types import StructType
+
+    new = StructType.fromDDL(fields).fieldNames()
+    at = df.columns.index(text)
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row_"))
+
+    def run(batches):
+        f = make()
+        for b in batches:
+            t = pc.struct_field(b.column(0), [at])
+            for rows, texts in slices([pa.RecordBatch.from_arrays([b.column(0), t], ["row_", "t"])], 1):
+                yield pa.RecordBatch.from_arrays([rows.column(0), *f(texts)], ["row_", *new])
+
+    schema = StructType(packed.schema.fields + StructType.fromDDL(fields).fields)
+    kept = [F.col("row_").getField(c).alias(c) for c in df.columns if c not in new]
+    return packed.mapInArrow(run, schema).select(*kept, *new)
