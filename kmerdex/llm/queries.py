@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, license_scan, simhash
+from . import bpe, decontaminate, license_scan, simhash, substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_license_scan": license_scan.op2_license_scan,
     "op6_simhash": simhash.op6_simhash,
     "op8_bpe": bpe.op8_bpe,
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 ORACLE = {
+    "op1_substring_dedup": substring_dedup.SQL,
     "op2_license_scan": license_scan.SQL,
     "op9_decontaminate": decontaminate.SQL,
 }
