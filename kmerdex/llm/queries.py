@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, license_scan, simhash, substring_dedup
+from . import bpe, decontaminate, license_scan, lm_score, quality, simhash, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_license_scan": license_scan.op2_license_scan,
+    "op3_quality": quality.op3_quality,
     "op6_simhash": simhash.op6_simhash,
+    "op7_lm_score": lm_score.op7_lm_score,
     "op8_bpe": bpe.op8_bpe,
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
