@@ -137,6 +137,21 @@ class Covering:
         return np.concatenate(rows), np.concatenate(anchors)
 
 
+    def single(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As anchors(), for each block alone: bits 0-22, 23-45 and 46-63."""
+        rows, anchors = [], []
+        for k in range(3):
+            v = (fp.astype(np.uint64) >> np.uint64(LENGTH * k) & np.uint64((1 << LENGTH) - 1)).astype(np.int64)
+            s = self.syndrome(v)
+            for patterns, at in self.near:
+                n = at[s + 1] - at[s]
+                row = np.repeat(np.arange(len(v)), n)
+                i = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                rows.append(row)
+                anchors.append(k << 12 | (v[row] ^ patterns[at[s[row]] + i]) >> 11)
+        return np.concatenate(rows), np.concatenate(anchors)
+
+
 def linked(anchor: np.ndarray, fp: np.ndarray, bits: int, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
     """Spanning pairs (fingerprint, smallest one joined to it) among fingerprints of equal anchors (sorted) within bits."""
     nodes, ix = np.unique(fp, return_inverse=True)
@@ -218,6 +233,119 @@ def classes(fps: DataFrame, bits: int = BITS) -> DataFrame:
     return fps.join(of.join(least, "c").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def leaders(fp: np.ndarray, bits: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """(later, earlier) places in fp: each fingerprint with the first one and with the nearest one before it that is within bits of it."""
+    n = len(fp)
+    a, b = [], []
+    for j in range(0, n, block):
+        y = fp[j : j + block]
+        best, where, first = np.full(len(y), 255, np.int64), np.zeros(len(y), np.int64), np.full(len(y), -1)
+        for i in range(0, j + len(y), block):
+            x = fp[i : i + block]
+            d = np.bitwise_count(x[:, None] ^ y[None, :]).astype(np.int64)
+            if i + len(x) > j:
+                d[(np.arange(len(x))[:, None] + i) >= (np.arange(len(y))[None, :] + j)] = 255
+            near = d.argmin(axis=0)
+            least = d[near, np.arange(len(y))]
+            hit = d <= bits
+            new = (first < 0) & hit.any(axis=0)
+            first[new] = hit.argmax(axis=0)[new] + i
+            closer = least < best
+            best[closer], where[closer] = least[closer], near[closer] + i
+        ok = np.flatnonzero(first >= 0)
+        a += [ok + j, ok + j]
+        b += [first[ok], where[ok]]
+    return np.concatenate(a) if a else np.zeros(0, np.int64), np.concatenate(b) if b else np.zeros(0, np.int64)
+
+
+def proposals(fps: DataFrame, bits: int) -> DataFrame:
+    """(a, b): pairs of doc_ids of rows (doc_id, fp) whose fingerprints are within bits, b the smaller; a few for each row and anchor.
+
+    Some block has a third of the bits at most, so anchors are those of one block within three bits plus two.
+    """
+    fps.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    share = bits // 3
+
+    def replicate(batches):
+        code = Covering(share - share // 2)
+        for b in batches:
+            for at in range(0, b.num_rows, 8192):
+                part = b.slice(at, 8192)
+                row, anchor = code.single(part.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), part.column(0).take(take), part.column(1).take(take)], ["anchor", "id", "fp"])
+
+    def compare(batches):
+        anchors, ids, fp = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+        def done(upto):
+            cut = np.flatnonzero(np.r_[True, anchors[1:upto] != anchors[: upto - 1], True])
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                if y - x > 1:
+                    later, earlier = leaders(fp[x:y], bits)
+                    a.append(ids[x:y][later])
+                    b.append(ids[x:y][earlier])
+            pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+
+        for b in batches:
+            anchors = np.concatenate([anchors, b.column(0).to_numpy()])
+            ids = np.concatenate([ids, b.column(1).to_numpy()])
+            fp = np.concatenate([fp, b.column(2).to_numpy().view(np.uint64)])
+            if len(fp) >= 1 << 18:
+                whole = int(np.searchsorted(anchors, anchors[-1]))
+                if whole:
+                    yield done(whole)
+                    anchors, ids, fp = anchors[whole:], ids[whole:], fp[whole:]
+        if len(fp):
+            yield done(len(fp))
+
+    spread = fps.select("doc_id", "fp").mapInArrow(replicate, "anchor int, id long, fp long")
+    return spread.repartition("anchor").sortWithinPartitions("anchor", "id").mapInArrow(compare, "a long, b long").distinct()
+
+
+def shingles(text: str, n: int) -> set[str]:
+    w = text.translate(_LOWER).split()
+    return {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)} or ({" ".join(w)} if w else set())
+
+
+_LOWER = {i: i + 32 for i in range(65, 91)}
+
+
+def distinct(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 11) -> DataFrame:
+    """docs (columns doc_id, a long, and text) without copies and near-copies; of each group the smallest doc_id stays.
+
+    Copies have the same text (by SHA-256). Near-copies are proposed by three-word fingerprints within bits of
+    each other and hold only if the sets of runs of so many words have that Jaccard similarity; groups are what
+    such pairs connect. A proposal pairs a text with the first and the nearest earlier text at each
+    anchor, so groups of any size take pairs in proportion to their members. Null and empty texts are copies
+    of their like; rows with a null doc_id stay; of rows repeated under one doc_id all stay or none.
+    """
+    keyed = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha")).where("doc_id is not null")
+    first = shared.written(keyed.groupBy("sha").agg(F.min("doc_id").alias("doc_id")), "first").select("doc_id")
+    own = docs.select("doc_id", "text").join(first, "doc_id", "left_semi")
+    fps = shared.written(fingerprints(own).select("doc_id", "fp"), "fingerprints")
+    pairs = shared.written(proposals(fps, bits), "proposals")
+    shared.tune(docs.sparkSession)
+
+    def alike(batches):
+        for b in batches:
+            x, y = (c.to_pylist() for c in b.columns[2:])
+            keep = []
+            for p, q in zip(x, y):
+                p, q = shingles(p or "", words), shingles(q or "", words)
+                keep.append(p == q or len(p & q) >= similarity * len(p | q) - 1e-12)
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(keep))
+
+    texts = docs.select("doc_id", "text").dropDuplicates(["doc_id"])
+    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+    true = shared.written(both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"), "alike")
+    later = shared.components(true).where("node > component").select(F.col("node").alias("doc_id"))
+    stay = first.join(later, "doc_id", "left_anti").select(F.col("doc_id").alias("id_"))
+    return docs.join(stay, F.col("doc_id") == F.col("id_"), "left_semi").unionByName(docs.where("doc_id is null"))
+
+
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     docs = shared.read(spark, sf_dir, "documents").select("doc_id", "text")
     fps = shared.written(fingerprints(docs).select("doc_id", "fp"), "fingerprints")
