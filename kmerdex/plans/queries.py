@@ -1,6 +1,405 @@
-"""Queries by name, and SQL that gives the same rows."""
+"""Queries by name, and SQL that gives the same rows.
+
+Queries on documents use k = 21 with sources as samples; those that walk the graph use conversations, k = 11
+with turns as samples. Benchmark items are query sequences. Every query reads its whole tables.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import kmers as K
+from ..operators import index as X
+from ..operators import mst, multiset, query, stats, validate
+from ..operators.tables import stored
+from ..sources import fixtures as fx
+from ..sources import io
+
+DOCS_K, GRAPH_K, SMALL_K, J = 21, 11, 15, 7
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+_built: dict = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make):
+    """What several queries of one session share is built once: an index is stored tables, as it would be in use."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _built:
+        _built[key] = make()
+    return _built[key]
+
+
+def doc_index(spark, sf_dir, k: int = DOCS_K) -> X.Index:
+    return _once(spark, sf_dir, f"documents-{k}", lambda: X.index_reads(fx.reads(spark, sf_dir), k))
+
+
+def talk_index(spark, sf_dir) -> X.Index:
+    return _once(spark, sf_dir, "conversations", lambda: X.index_reads(fx.talks(spark, sf_dir), GRAPH_K))
+
+
+def talk_tree(spark, sf_dir) -> DataFrame:
+    return _once(spark, sf_dir, "tree", lambda: stored(mst.encode(talk_index(spark, sf_dir)), "tree"))
+
+
+# --- SQL ---------------------------------------------------------------------------------------------
+
+
+def _kmers(name: str, source: str, keep: str, k: int) -> str:
+    """CTEs that end in name(keep, pos, kmer), from a query that gives keep and seq."""
+    return f"""
+{name}_r AS MATERIALIZED (SELECT {keep}, run, reverse(translate(run, 'ACGT', 'TGCA')) AS rc, translate(run, 'CATG', '0123') AS d, reverse(translate(run, 'GTAC', '0123')) AS rd
+  FROM (SELECT {keep}, unnest(string_split_regex(seq, '[^ACGT]+')) AS run FROM ({source}) s) t WHERE length(run) >= {k}),
+{name} AS MATERIALIZED (SELECT {keep}, pos, CASE WHEN d[pos:pos + {k - 1}] >= rd[length(run) - pos - {k - 2}:length(run) - pos + 1] THEN run[pos:pos + {k - 1}] ELSE rc[length(run) - pos - {k - 2}:length(run) - pos + 1] END AS kmer
+  FROM (SELECT *, unnest(generate_series(1, length(run) - {k - 1})) AS pos FROM {name}_r) t)"""
+
+
+_canon = "CASE WHEN translate({0}, 'CATG', '0123') >= translate(reverse(translate({0}, 'ACGT', 'TGCA')), 'CATG', '0123') THEN {0} ELSE reverse(translate({0}, 'ACGT', 'TGCA')) END"
+_docs = f"SELECT source AS sample, {fx.SQL.format('text')} AS seq FROM documents"
+_talks = f"SELECT CAST(turn AS VARCHAR) AS sample, {fx.SQL.format('text')} AS seq FROM conversations"
+_ask = f"SELECT item_id AS qid, {fx.SQL.format('text')} AS seq FROM benchmark"
+
+
+def _index(source: str, k: int) -> str:
+    """CTEs experiments, sk(sample_id, kmer), sets(kmer, samples), classes(color_id, samples, abundance), dbg(kmer, color_id)."""
+    return f"""{_kmers("w", source, "sample", k)},
+experiments AS (SELECT CAST(row_number() OVER (ORDER BY sample) - 1 AS INTEGER) AS sample_id, sample FROM (SELECT DISTINCT sample FROM ({source}) s WHERE sample IS NOT NULL) t),
+sk AS MATERIALIZED (SELECT DISTINCT sample_id, kmer FROM w JOIN experiments USING (sample)),
+sets AS MATERIALIZED (SELECT kmer, list_sort(list(sample_id)) AS samples FROM sk GROUP BY kmer),
+classes AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY abundance DESC, samples) - 1 AS BIGINT) AS color_id, samples, abundance FROM (SELECT samples, count(*) AS abundance FROM sets GROUP BY samples) t),
+dbg AS MATERIALIZED (SELECT kmer, color_id FROM sets JOIN classes USING (samples))"""
+
+
+_text = "array_to_string(list_transform({}, lambda x: CAST(x AS VARCHAR)), ',')"
+_result = "q AS (SELECT DISTINCT qid, kmer FROM a), res AS (SELECT qid, sample_id, count(*) AS n FROM q JOIN sk USING (kmer) GROUP BY qid, sample_id)"
+_answer = f"WITH {_index(_docs, DOCS_K)}, {_kmers('a', _ask, 'qid', DOCS_K)}, {_result}"
+_neighbors = f"""near AS MATERIALIZED (SELECT DISTINCT kmer, color_id, {_canon.format("x")} AS neighbor FROM (
+  SELECT kmer, color_id, unnest([kmer[2:] || 'C', kmer[2:] || 'A', kmer[2:] || 'T', kmer[2:] || 'G', 'C' || kmer[:-2], 'A' || kmer[:-2], 'T' || kmer[:-2], 'G' || kmer[:-2]]) AS x FROM dbg) t),
+adj AS MATERIALIZED (SELECT near.kmer, near.color_id, neighbor, b.color_id AS neighbor_color FROM near JOIN dbg b ON near.neighbor = b.kmer)"""
+_edges = "ce AS MATERIALIZED (SELECT DISTINCT color_id AS u, neighbor_color AS v FROM adj WHERE color_id < neighbor_color)"
+_weights = """we AS MATERIALIZED (SELECT u, v, CAST(len(list_filter(a.samples, lambda x: NOT list_contains(b.samples, x))) + len(list_filter(b.samples, lambda x: NOT list_contains(a.samples, x))) AS INTEGER) AS w
+  FROM ce JOIN classes a ON a.color_id = u JOIN classes b ON b.color_id = v
+  UNION ALL SELECT CAST(-1 AS BIGINT), color_id, CAST(len(samples) AS INTEGER) FROM classes)"""
+
+
+def _both(name: str, sql: str | None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return register
+
+
+# --- words -------------------------------------------------------------------------------------------
+
+
+@_both(
+    "kmer_extract",
+    f"WITH {_kmers('w', f'SELECT doc_id, {fx.SQL.format("text")} AS seq FROM documents', 'doc_id', DOCS_K)} SELECT doc_id, count(*) AS n_windows, count(DISTINCT kmer) AS n_kmers, min(kmer) AS least, max(kmer) AS greatest FROM w GROUP BY doc_id",
+)
+def kmer_extract(spark, sf_dir):
+    d = fx.spread(fx.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", fx.bases(F.col("text")).alias("seq"))
+    per = K.kmers(d, "seq", DOCS_K, "doc_id").groupBy("doc_id", "kmer").agg(F.count("*").alias("n"))
+    return per.groupBy("doc_id").agg(F.sum("n").alias("n_windows"), F.count("*").alias("n_kmers"), F.min("kmer").alias("least"), F.max("kmer").alias("greatest"))
+
+
+@_both("kmer_revcomp", f"SELECT qid, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM ({_ask}) s")
+def kmer_revcomp(spark, sf_dir):
+    return fx.questions(spark, sf_dir).select("qid", K.reverse_complement(F.col("seq")).alias("rc"))
+
+
+@_both("kmer_canonical", f"WITH {_kmers('a', _ask, 'qid', DOCS_K)} SELECT DISTINCT qid, kmer FROM a")
+def kmer_canonical(spark, sf_dir):
+    return query.query_kmers(fx.questions(spark, sf_dir), DOCS_K)
+
+
+@_both(
+    "kmer_pack",
+    f"WITH {_kmers('a', _ask, 'qid', DOCS_K)} SELECT kmer, list_reduce(list_transform(string_split(translate(kmer, 'CATG', '0123'), ''), lambda x: CAST(x AS BIGINT)), lambda p, q: p * 4 + q) AS packed, kmer AS unpacked FROM (SELECT DISTINCT kmer FROM a) t",
+)
+def kmer_pack(spark, sf_dir):
+    k = query.query_kmers(fx.questions(spark, sf_dir), DOCS_K).select("kmer").distinct().select("kmer", K.pack(F.col("kmer")).cast("long").alias("packed"))
+    return k.select("kmer", "packed", K.unpack(F.col("packed"), DOCS_K).alias("unpacked"))
+
+
+@_both(
+    "kmer_period",
+    f"WITH {_kmers('a', _ask, 'qid', 8)} SELECT kmer, CAST(list_min(list_filter(generate_series(1, 8), lambda p: right(repeat(right(kmer, p), CAST(ceil(8.0 / p) AS BIGINT)), 8) = kmer)) AS INTEGER) AS period FROM (SELECT DISTINCT kmer FROM a) t",
+)
+def kmer_period(spark, sf_dir):
+    k = K.kmers(fx.questions(spark, sf_dir), "seq", 8, "qid").select("kmer").distinct()
+    return k.select("kmer", K.period(F.col("kmer")).alias("period"))
+
+
+@_both("kmer_neighbors", f"WITH {_index(_talks, GRAPH_K)}, {_neighbors} SELECT DISTINCT kmer, neighbor FROM near")
+def kmer_neighbors(spark, sf_dir):
+    return K.neighbors(talk_index(spark, sf_dir).dbg, "kmer").select("kmer", "neighbor")
+
+
+@_both(
+    "kmer_affixes",
+    f"WITH {_kmers('a', _ask, 'qid', GRAPH_K)} SELECT kmer, kmer[:4] AS prefix, kmer[-4:] AS suffix, kmer[2:] || 'A' AS extended_right, 'T' || kmer[:-2] AS extended_left, kmer[:4] || kmer[-4:] AS joined FROM (SELECT DISTINCT kmer FROM a) t",
+)
+def kmer_affixes(spark, sf_dir):
+    k = K.kmers(fx.questions(spark, sf_dir), "seq", GRAPH_K, "qid").select("kmer").distinct()
+    w = F.col("kmer")
+    return k.select(
+        "kmer", K.prefix(w, 4).alias("prefix"), K.suffix(w, 4).alias("suffix"), K.extend_right(w, F.lit("A")).alias("extended_right"),
+        K.extend_left(w, F.lit("T")).alias("extended_left"), K.concat(K.prefix(w, 4), K.suffix(w, 4)).alias("joined"),
+    )
+
+
+# --- samples and index -------------------------------------------------------------------------------
+
+_counted = f"WITH {_kmers('w', _docs, 'sample', DOCS_K)}, c AS (SELECT sample, kmer, count(*) AS n FROM w GROUP BY sample, kmer)"
+
+
+def _doc_counts(spark, sf_dir, cutoff=1):
+    return X.count_kmers(fx.reads(spark, sf_dir), DOCS_K, sample="sample", cutoff=cutoff).withColumnRenamed("sample_id", "sample")
+
+
+@_both("kmer_count", f"{_counted} SELECT sample, count(*) AS n_kmers, CAST(sum(n) AS BIGINT) AS n_windows, max(n) AS largest FROM c GROUP BY sample")
+def kmer_count(spark, sf_dir):
+    return _doc_counts(spark, sf_dir).groupBy("sample").agg(F.count("*").alias("n_kmers"), F.sum("count").alias("n_windows"), F.max("count").alias("largest"))
+
+
+@_both("kmer_cutoff", f"{_counted} SELECT sample, kmer, n AS count FROM c WHERE n >= 3")
+def kmer_cutoff(spark, sf_dir):
+    return _doc_counts(spark, sf_dir, 3)
+
+
+@_both("sample_manifest", "SELECT CAST(row_number() OVER (ORDER BY source) - 1 AS INTEGER) AS sample_id, source AS sample FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) t")
+def sample_manifest(spark, sf_dir):
+    return X.number_samples(fx.table(spark, sf_dir, "documents").select(F.col("source").alias("sample")))
+
+
+def _list(c: str):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+@_both("colored_dbg", f"WITH {_index(_talks, GRAPH_K)} SELECT kmer, color_id, {_text.format('samples')} AS samples FROM dbg JOIN classes USING (color_id)")
+def colored_dbg(spark, sf_dir):
+    i = talk_index(spark, sf_dir)
+    return i.dbg.join(i.color_classes, "color_id").select("kmer", "color_id", _list("samples").alias("samples"))
+
+
+@_both("color_classes", f"WITH {_index(_docs, DOCS_K)} SELECT color_id, {_text.format('samples')} AS samples, abundance FROM classes")
+def color_classes(spark, sf_dir):
+    return doc_index(spark, sf_dir).color_classes.select("color_id", _list("samples").alias("samples"), "abundance")
+
+
+@_both("eqclass_dist", f"WITH {_index(_talks, GRAPH_K)} SELECT color_id, abundance FROM classes")
+def eqclass_dist(spark, sf_dir):
+    return talk_index(spark, sf_dir).color_classes.select("color_id", "abundance")
+
+
+@_both("index_cardinality", f"WITH {_index(_docs, DOCS_K)} SELECT (SELECT count(*) FROM dbg) AS n_kmers, (SELECT count(*) FROM classes) AS n_classes, (SELECT count(*) FROM experiments) AS n_samples")
+def index_cardinality(spark, sf_dir):
+    return X.cardinality(doc_index(spark, sf_dir))
+
+
+@_both("index_repeated_keys", f"WITH {_index(_talks, GRAPH_K)} SELECT kmer, count(*) AS count FROM dbg GROUP BY kmer HAVING count(*) > 1")
+def index_repeated_keys(spark, sf_dir):
+    return X.repeated_keys(talk_index(spark, sf_dir))
+
+
+# --- queries -----------------------------------------------------------------------------------------
+
+
+@_both("query_exact", f"{_answer} SELECT qid, sample_id, n FROM res")
+def query_exact(spark, sf_dir):
+    return query.query(doc_index(spark, sf_dir), fx.questions(spark, sf_dir))
+
+
+@_both("query_exact_named", f"{_answer} SELECT qid, sample, n FROM res JOIN experiments USING (sample_id)")
+def query_exact_named(spark, sf_dir):
+    i = doc_index(spark, sf_dir)
+    return query.named(query.query(i, fx.questions(spark, sf_dir)), i.experiments)
+
+
+@_both("query_num_kmers", f"WITH {_kmers('a', _ask, 'qid', DOCS_K)} SELECT item_id AS qid, coalesce(n, 0) AS num_kmers FROM benchmark LEFT JOIN (SELECT qid, count(DISTINCT kmer) AS n FROM a GROUP BY qid) t ON qid = item_id")
+def query_num_kmers(spark, sf_dir):
+    return query.num_kmers(fx.questions(spark, sf_dir), DOCS_K)
+
+
+_shown = f"""{_answer}, named AS (SELECT qid, sample, n FROM res JOIN experiments USING (sample_id)), num AS (SELECT qid, count(*) AS m FROM q GROUP BY qid),
+head AS (SELECT b.item_id AS qid, coalesce(m, 0) AS m FROM benchmark b LEFT JOIN num ON num.qid = b.item_id)"""
+
+
+def _blocks(spark, sf_dir):
+    q = fx.questions(spark, sf_dir)
+    i = doc_index(spark, sf_dir)
+    return query.named(query.query(i, q), i.experiments), query.num_kmers(q, DOCS_K)
+
+
+@_both("query_text", f"{_shown} SELECT qid, 'seq' || qid || chr(9) || m || coalesce(chr(10) || s, '') AS value FROM head LEFT JOIN (SELECT qid, string_agg(sample || chr(9) || n, chr(10) ORDER BY sample) AS s FROM named GROUP BY qid) t USING (qid)")
+def query_text(spark, sf_dir):
+    return io.result_text(*_blocks(spark, sf_dir), label="seq")
+
+
+@_both(
+    "query_json",
+    f"""{_shown} SELECT qid, '{{"qnum":' || qid || ',"num_kmers":' || m || ',"res":{{' || coalesce(s, '') || '}}}}' AS value FROM head LEFT JOIN (SELECT qid, string_agg('"' || sample || '":' || n, ',' ORDER BY sample) AS s FROM named GROUP BY qid) t USING (qid)""",
+)
+def query_json(spark, sf_dir):
+    return io.result_json(*_blocks(spark, sf_dir))
+
+
+@_both(
+    "query_K_gt_k",
+    f"""WITH {_index(_docs, SMALL_K)}, {_kmers("b", _ask, "qid", DOCS_K)}, big AS (SELECT DISTINCT qid, kmer AS big FROM b),
+part AS (SELECT qid, big, i, big[i:i + {SMALL_K - 1}] AS x FROM (SELECT qid, big, unnest(generate_series(1, {DOCS_K - SMALL_K + 1})) AS i FROM big) t),
+canon AS (SELECT qid, big, i, {_canon.format("x")} AS kmer FROM part),
+hit AS (SELECT qid, big, sample_id, count(*) AS n FROM canon JOIN sk USING (kmer) GROUP BY qid, big, sample_id HAVING count(*) = {DOCS_K - SMALL_K + 1})
+SELECT qid, sample_id, count(*) AS n FROM hit GROUP BY qid, sample_id""",
+)
+def query_larger(spark, sf_dir):
+    return query.query(doc_index(spark, sf_dir, SMALL_K), fx.questions(spark, sf_dir), DOCS_K)
+
+
+@_both("query_via_mst", f"WITH {_index(_talks, GRAPH_K)}, {_kmers('a', _ask, 'qid', GRAPH_K)}, {_result} SELECT qid, sample_id, n FROM res")
+def query_via_mst(spark, sf_dir):
+    return query.query(talk_index(spark, sf_dir), fx.questions(spark, sf_dir), classes=mst.decode(talk_tree(spark, sf_dir)))
+
+
+# --- multisets: k-mers of user turns (a) and of all other turns (b) -----------------------------------
+
+_roles = f"SELECT role, turn, {fx.SQL.format('text')} AS seq FROM conversations"
+_ab = f"""WITH {_kmers("w", _roles, "role, turn", GRAPH_K)}, a AS MATERIALIZED (SELECT kmer, count(*) AS count FROM w WHERE role = 'user' GROUP BY kmer), b AS MATERIALIZED (SELECT kmer, count(*) AS count FROM w WHERE role <> 'user' GROUP BY kmer)"""
+
+
+def _multisets(spark, sf_dir):
+    def make():
+        t = fx.table(spark, sf_dir, "conversations").select((F.col("role") == "user").alias("user"), fx.bases(F.col("text")).alias("seq")).where("user is not null")
+        return stored(K.kmers(t, "seq", GRAPH_K, "user").groupBy("user", "kmer").agg(F.count("*").alias("count")), "multisets")
+
+    m = _once(spark, sf_dir, "multisets", make)
+    return m.where("user").select("kmer", "count"), m.where("not user").select("kmer", "count")
+
+
+def _algebra(name: str, sql: str, f) -> None:
+    _both(name, f"{_ab} {sql}")(lambda spark, sf_dir: f(*_multisets(spark, sf_dir)))
+
+
+_algebra("multiset_merge", "SELECT kmer, CAST(sum(count) AS BIGINT) AS count FROM (SELECT * FROM a UNION ALL SELECT * FROM b) t GROUP BY kmer", multiset.merge)
+_algebra("multiset_insert", "SELECT kmer, CAST(sum(count) AS BIGINT) AS count FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM b) t GROUP BY kmer", lambda a, b: multiset.insert(multiset.insert(a, b), b))
+_algebra("multiset_intersect", "SELECT kmer, count FROM a WHERE kmer IN (SELECT kmer FROM b)", multiset.intersect)
+_algebra("multiset_inner_product", "SELECT CAST(coalesce(sum(a.count * b.count), 0) AS BIGINT) AS inner_product FROM a JOIN b USING (kmer)", multiset.inner_product)
+_algebra("multiset_magnitude", "SELECT CAST(floor(sqrt(sum(count * count))) AS BIGINT) AS magnitude FROM a", lambda a, b: multiset.magnitude(a))
+_algebra("multiset_lookup", "SELECT b.kmer, coalesce(a.count, 0) AS count FROM b LEFT JOIN a USING (kmer)", lambda a, b: multiset.lookup(a, b))
+_algebra("multiset_set_count", "SELECT kmer, coalesce(b.count, a.count) AS count FROM a FULL JOIN b USING (kmer)", multiset.set_count)
+_algebra("multiset_remove", "SELECT kmer, a.count - coalesce(b.count, 0) AS count FROM a LEFT JOIN b USING (kmer) WHERE a.count > coalesce(b.count, 0)", multiset.remove)
+_algebra("multiset_delete", "SELECT kmer, count FROM a WHERE kmer NOT IN (SELECT kmer FROM b)", multiset.delete)
+_algebra("multiset_range", "SELECT kmer, count FROM a WHERE kmer >= 'C' AND kmer < 'G'", lambda a, b: multiset.key_range(a, "C", "G"))
+_algebra("multiset_totals", "SELECT count(*) AS n_distinct, CAST(sum(count) AS BIGINT) AS n_total, max(count) AS largest FROM a", lambda a, b: multiset.totals(a))
+
+
+@_both("multiset_multi_merge", f"WITH {_kmers('w', _talks, 'sample', GRAPH_K)} SELECT kmer, count(*) AS count FROM w GROUP BY kmer")
+def multiset_multi_merge(spark, sf_dir):
+    counts = X.count_kmers(fx.talks(spark, sf_dir), GRAPH_K, sample="sample")
+    turns = [r["sample_id"] for r in counts.select("sample_id").distinct().collect()]  # names of samples only
+    return multiset.merge(*[counts.where(F.col("sample_id").eqNullSafe(t)) for t in sorted(turns, key=str)])
+
+
+# --- colors and graph --------------------------------------------------------------------------------
+
+_graph = f"WITH {_index(_talks, GRAPH_K)}, {_neighbors}"
+
+
+@_both("color_dist", f"WITH {_index(_docs, DOCS_K)} SELECT color_id, count(*) AS count FROM dbg GROUP BY color_id")
+def color_dist(spark, sf_dir):
+    return stats.color_distribution(doc_index(spark, sf_dir))
+
+
+@_both("cc_density", f"WITH {_index(_docs, DOCS_K)} SELECT sample_id, CAST(place AS INTEGER) AS place, CAST(sum(abundance) AS BIGINT) AS count FROM (SELECT abundance, unnest(samples) AS sample_id, unnest(generate_series(1, len(samples))) AS place FROM classes) t GROUP BY sample_id, place")
+def cc_density(spark, sf_dir):
+    return stats.class_density(doc_index(spark, sf_dir))
+
+
+@_both("dbg_edges", f"{_graph} SELECT kmer, neighbor, color_id = neighbor_color AS same_color FROM adj")
+def dbg_edges(spark, sf_dir):
+    a = mst.adjacency(talk_index(spark, sf_dir).dbg)
+    return a.select("kmer", "neighbor", (F.col("color_id") == F.col("neighbor_color")).alias("same_color"))
+
+
+@_both("color_edges", f"{_graph}, {_edges} SELECT u, v FROM ce")
+def color_edges(spark, sf_dir):
+    return mst.color_edges(talk_index(spark, sf_dir))
+
+
+@_both("edge_weights", f"{_graph}, {_edges}, {_weights} SELECT u, v, w FROM we")
+def edge_weights(spark, sf_dir):
+    i = talk_index(spark, sf_dir)
+    return mst.weighted_edges(mst.color_edges(i), i.color_classes)
+
+
+@_both(
+    "mst_total_weight",
+    # Kruskal: the weight is the sum over thresholds w of the number of components of edges up to w, less one
+    f"""{_graph.replace("WITH", "WITH RECURSIVE", 1)}, {_edges}, {_weights},
+nodes AS (SELECT color_id AS n FROM classes UNION ALL SELECT CAST(-1 AS BIGINT)),
+levels AS (SELECT unnest(generate_series(0, (SELECT max(w) FROM we))) AS t),
+reach(t, n, m) AS (SELECT t, n, n FROM levels, nodes UNION
+  SELECT r.t, r.n, CASE WHEN e.u = r.m THEN e.v ELSE e.u END FROM reach r JOIN we e ON (e.u = r.m OR e.v = r.m) AND e.w <= r.t),
+least AS (SELECT t, n, min(m) AS c FROM reach GROUP BY t, n)
+SELECT CAST(sum(k - 1) AS BIGINT) AS weight FROM (SELECT t, count(DISTINCT c) AS k FROM least GROUP BY t) x""",
+)
+def mst_total_weight(spark, sf_dir):
+    return talk_tree(spark, sf_dir).agg(F.sum("weight").alias("weight"))
+
+
+@_both("mst_edges", None)  # which of equally good trees is found depends on the order of equal weights
+def mst_edges(spark, sf_dir):
+    return talk_tree(spark, sf_dir).select("color_id", "parent_id", "weight", _list("delta").alias("delta"))
+
+
+@_both("mst_decode", f"WITH {_index(_talks, GRAPH_K)} SELECT color_id, {_text.format('samples')} AS samples FROM classes")
+def mst_decode(spark, sf_dir):
+    return mst.decode(talk_tree(spark, sf_dir)).select("color_id", _list("samples").alias("samples"))
+
+
+_mono = f"""{_graph.replace("WITH", "WITH RECURSIVE", 1)},
+same AS MATERIALIZED (SELECT kmer, neighbor FROM adj WHERE color_id = neighbor_color),
+label(kmer, component) USING KEY (kmer) AS (SELECT kmer, kmer FROM dbg UNION
+  SELECT s.neighbor, min(l.component) FROM label l JOIN same s ON s.kmer = l.kmer JOIN recurring.label o ON o.kmer = s.neighbor WHERE l.component < o.component GROUP BY s.neighbor)"""
+
+
+@_both("mono_components", f"{_mono} SELECT label.kmer, color_id, component FROM label JOIN dbg USING (kmer)")
+def mono_components(spark, sf_dir):
+    return stats.monochromatic(talk_index(spark, sf_dir))
+
+
+@_both(
+    "mono_size_hist",
+    f"""{_mono}, each AS (SELECT component, count(*) AS size, min(color_id) AS color_id FROM label JOIN dbg USING (kmer) GROUP BY component), bysize AS (SELECT size, color_id, count(*) AS n FROM each GROUP BY size, color_id)
+SELECT size, CAST(sum(n) AS BIGINT) AS components, string_agg(color_id || ':' || n, ',' ORDER BY color_id) AS colors FROM bysize GROUP BY size""",
+)
+def mono_size_hist(spark, sf_dir):
+    return stats.stats(talk_index(spark, sf_dir), "mono")
+
+
+@_both(
+    "jmer_confused",
+    f"""WITH {_index(_talks, GRAPH_K)}, part AS (SELECT kmer AS word, kmer[i:i + {J - 1}] AS x FROM (SELECT kmer, unnest(generate_series(1, {GRAPH_K - J + 1})) AS i FROM dbg) t),
+jm AS MATERIALIZED (SELECT DISTINCT word, {_canon.format("x")} AS jmer FROM part), known AS (SELECT DISTINCT jmer FROM jm),
+other AS (SELECT jmer, {_canon.format("x")} AS o FROM (SELECT jmer, unnest([jmer[:-2] || 'C', jmer[:-2] || 'A', jmer[:-2] || 'T', jmer[:-2] || 'G', 'C' || jmer[2:], 'A' || jmer[2:], 'T' || jmer[2:], 'G' || jmer[2:]]) AS x FROM known) t),
+bad AS (SELECT DISTINCT jmer FROM other WHERE o <> jmer AND o IN (SELECT jmer FROM known)), w2 AS (SELECT DISTINCT word FROM jm JOIN bad USING (jmer))
+SELECT kmer, kmer IN (SELECT word FROM w2) AS confused FROM dbg""",
+)
+def jmer_confused(spark, sf_dir):
+    return stats.stats(talk_index(spark, sf_dir), "jmerkmer", J)
+
+
+@_both("validate_index", f"{_answer} SELECT qid, sample_id, n AS expected, n AS found FROM res WHERE n <> n")
+def validate_index(spark, sf_dir):
+    i = doc_index(spark, sf_dir)
+    d = fx.reads(spark, sf_dir).join(F.broadcast(i.experiments) if i.experiments.count() < 100_000 else i.experiments, "sample")
+    return validate.validate(i, K.kmers(d, "seq", DOCS_K, "sample_id").select("sample_id", "kmer"), fx.questions(spark, sf_dir))
+
+
+@_both("validate_mst", f"WITH {_index(_talks, GRAPH_K)} SELECT color_id, {_text.format('samples')} AS samples FROM classes WHERE color_id < 0")
+def validate_mst(spark, sf_dir):
+    return validate.validate_mst(talk_index(spark, sf_dir), talk_tree(spark, sf_dir)).select("color_id", _list("samples").alias("samples"))
