@@ -24,7 +24,7 @@ from .quality import Ftrl, remainder, sampled
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 SEPARATORS = " .-_*~'"
 #: Channel costs, in nats.
-SUBSTITUTE, SHORTEN, HALVE, DROP, KEEP = 0.7, 0.2, 1.5, 0.3, 4.0
+SUBSTITUTE, SHORTEN, HALVE, DROP, KEEP, EDGE = 0.7, 0.2, 1.5, 0.3, 4.0, 1.0
 #: Labelled rows that are learned from at most.
 LABELLED_ROWS = 8_000
 #: Least log-likelihood ratio, in favour of toxic texts, of a feature that is learned.
@@ -57,10 +57,9 @@ def character_counts(docs: DataFrame, text: str) -> np.ndarray:
         for b in batches:
             for _, texts in shared.slices([b], 0):
                 w = shared.Words(texts)
-                c = CODE[w.data]
+                # texts follow each other; a boundary stands before and behind each
+                c = np.append(np.insert(CODE[w.data], w.offsets[:-1], 0), 0)
                 if len(c) > 2:
-                    # texts follow each other; a boundary stands before each
-                    c = np.insert(c, w.offsets[:-1], 0)
                     t = (c[:-2] * SYMBOLS + c[1:-1]) * SYMBOLS + c[2:]
                     total += np.bincount(t, minlength=places)
         at = np.flatnonzero(total)
@@ -84,8 +83,8 @@ class Decoder:
         return ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
 
     @staticmethod
-    def options(c: str, run: int) -> list[tuple[str, float]]:
-        """What a run of one character may stand for, with costs."""
+    def options(c: str, run: int, edge: bool = False) -> list[tuple[str, float]]:
+        """What a run of one character may stand for, with costs; edge: next to the first or last character, which may be a word of one letter."""
         out: list[tuple[str, float]] = []
         letters = [(c, 0.0)] if c.isalpha() else [(x, SUBSTITUTE) for x in LEET.get(c, "")]
         for x, cost in letters:
@@ -96,7 +95,7 @@ class Decoder:
             else:
                 out += [(x, cost + SHORTEN), (x + x, cost + SHORTEN)]
         if c in SEPARATORS:
-            out += [("", DROP), (" ", KEEP)]
+            out += [("", DROP), (" ", EDGE if edge else KEEP)]
         elif not c.isalpha():
             out.append((" ", KEEP * (1 + c.isdigit())))
         return out
@@ -109,7 +108,7 @@ class Decoder:
             while j < len(word) and word[j] == word[i]:
                 j += 1
             new: dict = {}
-            choices = self.options(word[i], j - i)
+            choices = self.options(word[i], j - i, word[i] == " " and (i == 1 or j == len(word) - 1))
             i = j
             for (p, q), (cost, done) in best.items():
                 for text, extra in choices:
