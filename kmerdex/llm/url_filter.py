@@ -52,6 +52,12 @@ def pieces(host: str, path: str) -> list[tuple[str, str]]:
     return names + [("p", x) for x in re.split(r"[^\w#]+|_+", path.lower()) if x]
 
 
+def apart(host: str, path: str) -> list[str]:
+    """Names that are written apart from others: parts of labels with more than one, and of the path. A label of one part may itself be several words."""
+    labels = [[x for x in re.split(r"[^\w]+|[\d_]+", label) if x] for label in host.split(".")[:-1]]
+    return [x for names in labels if len(names) > 1 for x in names] + [x for kind, x in pieces("", path)]
+
+
 class Segmenter:
     """Most probable split of a name into words."""
 
@@ -105,7 +111,7 @@ def judged(pages: DataFrame, rules=RULES, seeds=SEEDS, page_id: str = "page_id",
     def named(batches):
         for b in batches:
             host, form, n = (c.to_pylist() for c in b.columns)
-            rows = [(x, k) for h, f, k in zip(host, form, n) for _, x in pieces(h, f)]
+            rows = [(x, k) for h, f, k in zip(host, form, n) for x in apart(h, f)]
             yield pa.RecordBatch.from_pydict({"word": pa.array([x for x, _ in rows], pa.string()), "n": pa.array([k for _, k in rows], pa.int64())})
 
     words = shared.written(forms.mapInArrow(named, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
