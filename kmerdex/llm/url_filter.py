@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 #: (host and path, verdict): fits the host and its subdomains where the path starts alike.
-RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block")]
+RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 #: Words whose presence makes a url an example of what to block.
 SEEDS = ("adult", "porn", "sex", "xxx", "casino", "poker", "bets", "bet", "gambling", "pills", "viagra", "pharma", "spam", "scam", "malware", "phishing", "warez", "torrent", "ads", "track", "tracker", "clickbait")
 #: Least share of all words for a word to be known to the segmentation; at most 1 / FLOOR words can have it.
