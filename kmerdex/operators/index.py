@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kmers import kmers
 from .tables import numbered, stored
 
 
+#: Samples in one number, samples for which sets are built as bits, sample names that are broadcast.
+WORD, BIT_SAMPLES, BROADCAST_SAMPLES = 62, 992, 1_000_000
+
+
 @dataclass
 class Index:
     """k, dbg(kmer, color_id), color_classes(color_id, samples, abundance), experiments(sample_id, sample)."""
@@ -43,20 +47,52 @@ def color_dictionary(sets: DataFrame) -> DataFrame:
     return numbered(classes, "color_id", F.desc("abundance"), F.col("samples")).select("color_id", "samples", "abundance")
 
 
+def _word(i: int) -> str:
+    return f"_bits{i}"
+
+
+def _bit_sets(sample_kmers: DataFrame, words: int) -> DataFrame:
+    """(kmer, _bits0, ...): sets as bits of long numbers, which the hash aggregate can or in generated code."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("sample_id") % WORD).cast("int"))
+    at = F.floor(F.col("sample_id") / WORD)
+    bits = [F.when(at == i, bit).otherwise(F.lit(0).cast("long")).alias(_word(i)) for i in range(words)]
+    return sample_kmers.select("kmer", *bits).groupBy("kmer").agg(*[F.bit_or(_word(i)).alias(_word(i)) for i in range(words)])
+
+
+def _members(words: int, samples: int) -> Column:
+    """Sorted array of the samples whose bits are set."""
+    bits = F.array(*[F.col(_word(i)) for i in range(words)])
+    ids = F.sequence(F.lit(0), F.lit(samples - 1))
+    return F.filter(ids, lambda s: F.call_function("shiftright", F.element_at(bits, F.floor(s / WORD).cast("int") + 1), (s % WORD).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
+
+
 def build_index(sample_kmers: DataFrame, experiments: DataFrame, k: int) -> Index:
-    """The index of rows (sample_id, kmer); raises if there is no sample."""
-    if experiments.isEmpty():
+    """The index of rows (sample_id, kmer); raises if there is no sample.
+
+    Up to BIT_SAMPLES samples, sets are bits until the dictionary is made, and only its classes become arrays.
+    """
+    samples = experiments.count()
+    if not samples:
         raise ValueError("no samples")
-    sets = stored(sample_sets(sample_kmers), "sets")
-    classes = stored(color_dictionary(sets), "classes")
-    dbg = sets.join(classes.select("samples", "color_id"), "samples").select("kmer", "color_id")
-    return Index(k, stored(dbg, "dbg"), classes, experiments)
+    if samples > BIT_SAMPLES:
+        sets = stored(sample_sets(sample_kmers), "sets")
+        classes = stored(color_dictionary(sets), "classes")
+        return Index(k, stored(sets.join(classes.select("samples", "color_id"), "samples").select("kmer", "color_id"), "dbg"), classes, experiments)
+    words = -(-samples // WORD)
+    names = [_word(i) for i in range(words)]
+    sets = stored(_bit_sets(sample_kmers, words), "sets")
+    found = sets.groupBy(*names).agg(F.count("*").alias("abundance")).withColumn("samples", _members(words, samples))
+    found = stored(numbered(found, "color_id", F.desc("abundance"), F.col("samples")), "classes")
+    dbg = stored(sets.join(found.select(*names, "color_id"), names).select("kmer", "color_id"), "dbg")
+    return Index(k, dbg, found.select("color_id", "samples", "abundance"), experiments)
 
 
 def index_reads(reads: DataFrame, k: int, seq: str = "seq", sample: str = "sample", cutoff: int = 1) -> Index:
     """The index of reads (sample, seq)."""
     experiments = stored(number_samples(reads, sample), "experiments")
-    named = reads.join(experiments.select(F.col("sample").alias(sample), "sample_id"), sample).select("sample_id", seq)
+    # the names go to the reads wherever their number allows; a sample may have any share of the reads
+    fit = F.broadcast if experiments.count() <= BROADCAST_SAMPLES else (lambda x: x)
+    named = reads.join(fit(experiments.select(F.col("sample").alias(sample), "sample_id")), sample).select("sample_id", seq)
     counted = count_kmers(named, k, seq, "sample_id", cutoff) if cutoff > 1 else kmers(named, seq, k, "sample_id").select("sample_id", "kmer")
     return build_index(counted, experiments, k)
 

@@ -396,7 +396,7 @@ def jmer_confused(spark, sf_dir):
 @_both("validate_index", f"{_answer} SELECT qid, sample_id, n AS expected, n AS found FROM res WHERE n <> n")
 def validate_index(spark, sf_dir):
     i = doc_index(spark, sf_dir)
-    d = fx.reads(spark, sf_dir).join(F.broadcast(i.experiments) if i.experiments.count() < 100_000 else i.experiments, "sample")
+    d = fx.reads(spark, sf_dir).join(i.experiments, "sample")
     return validate.validate(i, K.kmers(d, "seq", DOCS_K, "sample_id").select("sample_id", "kmer"), fx.questions(spark, sf_dir))
 
 

@@ -21,8 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out anew: a table of one file is one input split, which is too few tasks for making k-mers."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    """Rows dealt out anew where the input has fewer splits than there are cores, as a small table of one file has."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,18 @@ def test_sets_and_ids(data):
     assert tuple(X.cardinality(index).first()) == (len(want), len(classes), 4)
 
 
+def test_many_samples(spark, data, monkeypatch):
+    rows, reads, index = data
+    monkeypatch.setattr(X, "BIT_SAMPLES", 0)
+    other = X.index_reads(reads, K)
+    for t in ("dbg", "color_classes"):
+        assert sorted(map(str, getattr(other, t).collect())) == sorted(map(str, getattr(index, t).collect()))
+    monkeypatch.setattr(X, "BIT_SAMPLES", 992)
+    wide = [(f"s{i:03}", "ACGTACCATT" if i % 50 else "ACGTA") for i in range(130)]
+    wide = X.index_reads(spark.createDataFrame(wide, "sample string, seq string"), K)
+    assert sorted(len(r["samples"]) for r in wide.color_classes.collect()) == [127, 130]
+
+
 def test_counts_and_cutoff(data, spark):
     rows, reads, _ = data
     want = Counter((s, w) for s, seq in rows for w in brute.kmers(seq, K))
