@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+_own: list[str] = []
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir. Where it names none: one that ends with the process if all runs in it, else one in the warehouse."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if top:
+        return top.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stored"
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="kmerdex-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return _own[0]
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """df written to the folder that all executors share (spark.checkpoint.dir, else below the warehouse) and read back; lineage ends there."""
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/_stored"
-    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
