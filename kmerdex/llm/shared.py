@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
+import tempfile
 import uuid
 
 import numpy as np
@@ -26,13 +29,20 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
 
 
+_own: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
+    """The folder that the session names in spark.checkpoint.dir. Where it names none: one that ends with the process if all runs in it, else one in the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_written"
-        return own
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_written"
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="written-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return _own[0]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
