@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Rows of one Arrow batch; texts may be long, so batches have few rows.
 ROWS_PER_BATCH = 500
 #: Bytes of text that are analysed at a time inside a task (one longer text is still taken whole).
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
