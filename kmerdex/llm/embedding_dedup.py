@@ -174,7 +174,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "v
             a, links, b = compared(block, (ids[home], n[home], raw[home], None), (ids[probe], n[probe], raw[probe], own_cell), cosine)
         return pa.table({"a": pa.array(a, pa.int64()), "links": pa.array(links, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    found = dealt.select("size", "block", "cell", "i", "j", "side", "rep", "n", "raw").groupBy("size", "block", "cell", "i", "j").applyInArrow(tiles, "a long, links long, b long")
+    # without this the join's partitioning by cell would do for the groups, and all tiles of a cell would meet in one task
+    dealt = dealt.select("size", "block", "cell", "i", "j", "side", "rep", "n", "raw").repartition("size", "block", "cell", "i", "j")
+    found = dealt.groupBy("size", "block", "cell", "i", "j").applyInArrow(tiles, "a long, links long, b long")
     found = shared.written(found, "found")
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
     comp = shared.components(found.select("a", "b"))
