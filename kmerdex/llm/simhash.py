@@ -313,42 +313,156 @@ def proposals(fps: DataFrame, bits: int) -> DataFrame:
     return spread.repartition("anchor").sortWithinPartitions("anchor", "id").mapInArrow(compare, "a long, b long").distinct()
 
 
-def shingles(text: str, n: int) -> set[str]:
-    w = text.translate(_LOWER).split()
-    return {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)} or ({" ".join(w)} if w else set())
+#: Bands of MinHash values by which texts are put into one cluster, and values of a band. Two sets of similarity s share a band with
+#: probability 1 - (1 - s ** ROWS) ** BANDS, whatever the texts are: 1 - 3e-6 at 0.8.
+BANDS, ROWS = 32, 5
+#: Runs of words of one part of a cluster; parts are compared two by two.
+PART = 1 << 18
 
 
-_LOWER = {i: i + 32 for i in range(65, 91)}
+def run_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of the runs of n words (A-Z lower-cased) of each text, sorted, and where each text's begin; fewer words are one run."""
+    w = shared.Words(texts)
+    w.data = LOWER[w.data]
+    h = w.hashes()
+    count = np.diff(w.first)
+    g = shared.grams(h, n)
+    at = np.flatnonzero(w.row[n - 1 :] == w.row[: len(g)]) if len(g) else np.zeros(0, np.int64)
+    row, value = [w.row[at]], [g[at]]
+    for k in range(1, n):
+        few = np.flatnonzero(count == k)
+        if len(few):
+            row.append(few)
+            value.append(shared.mixed(shared.grams(h, k)[w.first[few]], k))
+    row, value = np.concatenate(row), np.concatenate(value)
+    order = np.lexsort((value, row))
+    row, value = row[order], value[order]
+    new = np.r_[True, (row[1:] != row[:-1]) | (value[1:] != value[:-1])] if len(row) else np.zeros(0, bool)
+    row, value = row[new], value[new]
+    return value, np.searchsorted(row, np.arange(len(texts) + 1))
+
+
+def bands(value: np.ndarray, begin: np.ndarray, n: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """(texts, n) keys of the MinHash bands of sets; empty sets have keys of their own."""
+    some = np.flatnonzero(np.diff(begin))
+    out = np.zeros((len(begin) - 1, n), np.uint64)
+    odd = np.random.default_rng(11).integers(1 << 63, size=n * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    if len(some):
+        for k in range(n):
+            key = np.full(len(some), k, np.uint64)
+            for m in odd[k * rows : (k + 1) * rows]:
+                key = shared.mixed(key * np.uint64(31) + np.minimum.reduceat(value * m, begin[:-1][some]))
+            out[some, k] = key
+    return out
+
+
+def clusters(own: DataFrame, words: int) -> DataFrame:
+    """(id, cluster): texts that share a band with another, directly or by way of others. Bands are grouped by their smallest id, so no group is gathered."""
+
+    def keys(batches):
+        for b in batches:
+            for part, texts in shared.slices([b], 1):
+                k = bands(*run_sets(texts, words))
+                ids = part.column(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, k.shape[1]))], ["key", "id"])
+
+    keyed = shared.written(own.select("doc_id", "text").mapInArrow(keys, "key long, id long"), "bands")
+    least = keyed.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("z")).where("b < z").select("key", "b")
+    pairs = keyed.join(least, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    return shared.written(shared.components(shared.written(pairs, "links")).select(F.col("node").alias("id"), F.col("component").alias("cluster")), "clusters")
+
+
+def alike(ids: np.ndarray, sets: list[np.ndarray], second: np.ndarray, whole: bool, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (id, smallest id joined to it) that span what all pairs of sets with that Jaccard similarity connect; only pairs of one first and one second unless whole."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    value = np.concatenate(sets) if n else np.zeros(0, np.uint64)
+    of = np.repeat(np.arange(n), size)
+    left, right = (np.ones(n, bool),) * 2 if whole else (~second, second)
+    # postings of the second side, by value
+    inside = right[of]
+    post, doc = value[inside], of[inside]
+    order = np.argsort(post, kind="stable")
+    post, doc = post[order], doc[order]
+    lo, hi = np.searchsorted(post, value), np.searchsorted(post, value, side="right")
+    begin = np.r_[0, np.cumsum(size)]
+    a, b = [], []
+    for x in np.flatnonzero(left).tolist():
+        f, t = lo[begin[x] : begin[x + 1]], hi[begin[x] : begin[x + 1]]
+        k = t - f
+        at = np.arange(k.sum()) + np.repeat(f - np.cumsum(k) + k, k)
+        both = np.bincount(doc[at], minlength=n)
+        y = np.flatnonzero(right & (both >= similarity * (size + size[x] - both) - 1e-12))
+        a.append(np.full(len(y), x))
+        b.append(y)
+    if not a:
+        return ids[:0], ids[:0]
+    rank = np.argsort(np.argsort(ids))
+    label = shared.forest(n, rank[np.concatenate(a)], rank[np.concatenate(b)])
+    moved = np.flatnonzero(label[rank] != rank)
+    return ids[moved], np.sort(ids)[label[rank[moved]]]
+
+
+def near_pairs(own: DataFrame, words: int, similarity: float, part: int = PART) -> DataFrame:
+    """(a, b): pairs of doc_ids that connect all texts of one cluster whose sets of runs of words have that similarity.
+
+    Every pair of a cluster is compared. A cluster is cut into parts of about so many runs, and each two parts are a
+    task's work of their own, so that work spreads however large a cluster is.
+    """
+    held = clusters(own, words)
 
+    def collected(batches):
+        for b in batches:
+            for rows, texts in shared.slices([b], 2):
+                value, begin = run_sets(texts, words)
+                size = np.diff(begin)
+                data = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer((begin * 8).astype(np.int64)), pa.py_buffer(value)])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(size), data.cast(pa.binary())], ["cluster", "id", "n", "runs"])
+
+    member = own.join(held.withColumnRenamed("id", "doc_id"), "doc_id").select("cluster", "doc_id", "text")
+    sets = shared.written(member.mapInArrow(collected, "cluster long, id long, n long, runs binary"), "sets")
+    parts = sets.groupBy("cluster").agg(F.ceil((F.sum("n") + 1) / F.lit(part)).cast("int").alias("parts"))
+    own_part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    dealt = sets.join(parts, "cluster").withColumn("p", own_part).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("cluster", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), (F.col("p") > F.col("q")).alias("second"), "id", "runs")
 
-def distinct(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 11) -> DataFrame:
+    def compare(batches):
+        now, ids, runs, second = None, [], [], []
+
+        def done():
+            if len(ids) < 2:
+                return
+            a, b = alike(np.array(ids, np.int64), [np.frombuffer(r, np.uint64) for r in runs], np.array(second), now[1] == now[2], similarity)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            for c, x, y, s, i, r in zip(*(k.to_pylist() for k in batch.columns)):
+                if (c, x, y) != now:
+                    yield from done()
+                    now, ids, runs, second = (c, x, y), [], [], []
+                ids.append(i)
+                runs.append(r)
+                second.append(s)
+        yield from done()
+
+    spread = dealt.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
+    return spread.mapInArrow(compare, "a long, b long")
+
+
+def distinct(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs (columns doc_id, a long, and text) without copies and near-copies; of each group the smallest doc_id stays.
 
-    Copies have the same text (by SHA-256). Near-copies are proposed by three-word fingerprints within bits of
-    each other and hold only if the sets of runs of so many words have that Jaccard similarity; groups are what
-    such pairs connect. A proposal pairs a text with the first and the nearest earlier text at each
-    anchor, so groups of any size take pairs in proportion to their members. Null and empty texts are copies
+    Copies have the same text (by SHA-256). Near-copies have sets of runs of so many words (A-Z lower-cased, as
+    64-bit hashes) with that Jaccard similarity; groups are what such pairs connect. MinHash bands over
+    these sets only put texts into clusters; inside a cluster all pairs are compared. Null and empty texts are copies
     of their like; rows with a null doc_id stay; of rows repeated under one doc_id all stay or none.
     """
+    shared.tune(docs.sparkSession)
     keyed = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha")).where("doc_id is not null")
-    first = shared.written(keyed.groupBy("sha").agg(F.min("doc_id").alias("doc_id")), "first").select("doc_id")
+    first = shared.written(keyed.groupBy("sha").agg(F.min("doc_id").alias("doc_id")), "first").select("doc_id").distinct()
     own = docs.select("doc_id", "text").join(first, "doc_id", "left_semi")
-    fps = shared.written(fingerprints(own).select("doc_id", "fp"), "fingerprints")
-    pairs = shared.written(proposals(fps, bits), "proposals")
-    shared.tune(docs.sparkSession)
-
-    def alike(batches):
-        for b in batches:
-            x, y = (c.to_pylist() for c in b.columns[2:])
-            keep = []
-            for p, q in zip(x, y):
-                p, q = shingles(p or "", words), shingles(q or "", words)
-                keep.append(p == q or len(p & q) >= similarity * len(p | q) - 1e-12)
-            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(keep))
-
-    texts = docs.select("doc_id", "text").dropDuplicates(["doc_id"])
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-    true = shared.written(both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"), "alike")
+    true = shared.written(near_pairs(own, words, similarity).distinct(), "alike")
     later = shared.components(true).where("node > component").select(F.col("node").alias("doc_id"))
     stay = first.join(later, "doc_id", "left_anti").select(F.col("doc_id").alias("id_"))
     return docs.join(stay, F.col("doc_id") == F.col("id_"), "left_semi").unionByName(docs.where("doc_id is null"))
