@@ -137,22 +137,6 @@ class Covering:
         return np.concatenate(rows), np.concatenate(anchors)
 
 
-    def single(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index into fp, anchor, bits beyond the covering radius) for each block alone: bits 0-22, 23-45 and 46-63."""
-        rows, anchors, beyond = [], [], []
-        for k in range(3):
-            v = (fp.astype(np.uint64) >> np.uint64(LENGTH * k) & np.uint64((1 << LENGTH) - 1)).astype(np.int64)
-            s = self.syndrome(v)
-            for d, (patterns, at) in enumerate(self.near):
-                n = at[s + 1] - at[s]
-                row = np.repeat(np.arange(len(v)), n)
-                i = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                rows.append(row)
-                anchors.append(k << 12 | (v[row] ^ patterns[at[s[row]] + i]) >> 11)
-                beyond.append(np.full(len(row), d, np.int8))
-        return np.concatenate(rows), np.concatenate(anchors), np.concatenate(beyond)
-
-
 def linked(anchor: np.ndarray, fp: np.ndarray, bits: int, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
     """Spanning pairs (fingerprint, smallest one joined to it) among fingerprints of equal anchors (sorted) within bits."""
     nodes, ix = np.unique(fp, return_inverse=True)
@@ -234,85 +218,6 @@ def classes(fps: DataFrame, bits: int = BITS) -> DataFrame:
     return fps.join(of.join(least, "c").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def leaders(fp: np.ndarray, bits: int, turn: int = 0, near: np.ndarray | None = None, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """(later, earlier) places in fp: each fingerprint with the first one and with the nearest one before it that is within bits of it.
-
-    Only fingerprints marked near look for earlier ones: of a pair that agrees in a block but for three bits, some anchor is near the one
-    and within reach of the other. Pairs that an anchor of an earlier block than turn finds, too, are left to that block.
-    """
-    n, share = len(fp), np.uint8(bits // 3)
-    masks = [np.uint64(((1 << LENGTH) - 1) << LENGTH * k) for k in range(turn)]
-    first, nearest = np.full(n, n), np.full(n, 1 << 62)
-    later = np.arange(n) if near is None else np.flatnonzero(near)
-    for j in range(0, len(later), block):
-        at = later[j : j + block]
-        y = fp[at]
-        for i in range(0, int(at[-1]), block):
-            x = fp[i : i + block]
-            d = np.bitwise_count(x[:, None] ^ y[None, :])
-            p, q = np.nonzero(d <= bits)
-            ok = p + i < at[q]
-            p, q = p[ok], q[ok]
-            for m in masks:
-                ok = np.bitwise_count((x[p] ^ y[q]) & m) > share
-                p, q = p[ok], q[ok]
-            np.minimum.at(first, at[q], p + i)
-            np.minimum.at(nearest, at[q], d[p, q].astype(np.int64) << 32 | (p + i))
-    at = np.flatnonzero(first < n)
-    a, b = first[at], nearest[at] & 0xFFFFFFFF
-    other = a != b
-    return np.concatenate([at, at[other]]), np.concatenate([a, b[other]])
-
-
-def proposals(fps: DataFrame, bits: int) -> DataFrame:
-    """(a, b): pairs of doc_ids of rows (doc_id, fp) whose fingerprints are within bits, b the smaller; a few for each row and anchor.
-
-    Some block has a third of the bits at most, so anchors are those of one block within three bits plus two.
-    """
-    fps.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    share = bits // 3
-
-    def replicate(batches):
-        code = Covering(share - share // 2)
-        for b in batches:
-            for at in range(0, b.num_rows, 8192):
-                part = b.slice(at, 8192)
-                row, anchor, beyond = code.single(part.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
-                take = pa.array(row)
-                near = pa.array(beyond <= share // 2)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), part.column(0).take(take), part.column(1).take(take), near], ["anchor", "id", "fp", "near"])
-
-    def compare(batches):
-        anchors, ids, fp, near = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
-
-        def done(upto):
-            cut = np.flatnonzero(np.r_[True, anchors[1:upto] != anchors[: upto - 1], True])
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                if y - x > 1:
-                    later, earlier = leaders(fp[x:y], bits, int(anchors[x]) >> 12, near[x:y])
-                    a.append(ids[x:y][later])
-                    b.append(ids[x:y][earlier])
-            pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
-
-        for b in batches:
-            anchors = np.concatenate([anchors, b.column(0).to_numpy()])
-            ids = np.concatenate([ids, b.column(1).to_numpy()])
-            fp = np.concatenate([fp, b.column(2).to_numpy().view(np.uint64)])
-            near = np.concatenate([near, b.column(3).to_numpy(zero_copy_only=False)])
-            if len(fp) >= 1 << 18:
-                whole = int(np.searchsorted(anchors, anchors[-1]))
-                if whole:
-                    yield done(whole)
-                    anchors, ids, fp, near = anchors[whole:], ids[whole:], fp[whole:], near[whole:]
-        if len(fp):
-            yield done(len(fp))
-
-    spread = fps.select("doc_id", "fp").mapInArrow(replicate, "anchor int, id long, fp long, near boolean")
-    return spread.repartition("anchor").sortWithinPartitions("anchor", "id").mapInArrow(compare, "a long, b long").distinct()
-
-
 #: Bands of MinHash values by which texts are put into one cluster, and values of a band. Two sets of similarity s share a band with
 #: probability 1 - (1 - s ** ROWS) ** BANDS, whatever the texts are: 1 - 3e-6 at 0.8.
 BANDS, ROWS = 32, 5

@@ -56,3 +56,26 @@ def test_parts_of_a_cluster(spark):
         later = {r["a"]: r["b"] for r in S.shared.components(S.near_pairs(docs, 5, 0.8, part)).toDF("a", "b").where("a > b").collect()}
         assert set(range(len(texts))) - set(later) == kept(texts)
 
+
+def test_near_copies_far_apart_in_bits(spark):
+    rnd = random.Random(9)
+    w = data.vocabulary(rnd, 3000)
+    texts = []
+    for k in range(120):
+        t = [rnd.choice(w) for _ in range(200)]
+        u = list(t)
+        if k % 4 == 0:  # a repeated line
+            u += [rnd.choice(w) for _ in range(8)] * 5
+        elif k % 4 == 1:
+            u += [rnd.choice(w) for _ in range(46)]
+        elif k % 4 == 2:
+            u[179:] = [rnd.choice(w) for _ in range(21)]
+        else:
+            for i in range(5, 200, 50):
+                u[i] = "edited"
+        texts += [t, u]
+    texts = [" ".join(t) for t in texts]
+    want = kept(texts)
+    assert want == set(range(0, 240, 2))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in S.distinct(docs).collect()} == want
