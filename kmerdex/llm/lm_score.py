@@ -1,26 +1,30 @@
 """Cross-entropy difference of two matched n-gram models, one of target texts and one of all texts.
 
 Words are counted alone and in pairs over all documents, once for the target and once for the background.
-Both models share one vocabulary: the words (and pairs) whose share of either corpus is FLOOR or more; all
-other words are one unknown word. At most 1 / FLOOR words can have such a share, whatever the corpus,
-which bounds what is broadcast. The probability of a word after another mixes its share of the pairs
+Both models share one vocabulary, all words and pairs of all documents, whatever their number; a word without
+any count is the unknown word. The table of counts is never gathered: the distinct keys of each chunk of documents are joined
+to it, and a chunk is scored with its own part of the table. The probability of a word after another mixes its share of the pairs
 with its share of all words. A text's score is the mean over its words of loss under the target model minus loss under the background.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import shared
 from .simhash import LOWER
 
-#: Least share of a corpus of a word or pair in the vocabulary.
-FLOOR = 1e-6
 #: Weight of pairs against single words.
 MIX = 0.6
+#: Documents of a chunk, as a power of two.
+CHUNK = 10
 
 
 def tokens(texts: pa.Array) -> tuple[shared.Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -67,16 +71,22 @@ def counts(docs: DataFrame, text: str, target: Column) -> DataFrame:
     return got.groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
+class Fitted(NamedTuple):
+    """All counts (key, target, background), the words of both corpora, and the number of distinct words."""
+
+    table: DataFrame
+    total: np.ndarray
+    words: int
+
+
 class Model:
-    """Sorted keys with log-free shares under (target, background)."""
+    """Sorted keys with counts under (target, background): those of some texts, out of a vocabulary of so many words."""
 
-    def __init__(self, key: np.ndarray, count: np.ndarray, total: np.ndarray):
+    def __init__(self, key: np.ndarray, count: np.ndarray, total: np.ndarray, words: int):
         order = np.argsort(key)
-        self.key, self.count, self.total = key[order], count[order], np.maximum(total, 1.0)
-        words = (self.key & np.uint64(1)) == 0
+        self.key, self.count = key[order], count[order]
         #: One count more for each word and the unknown one.
-        self.size = self.total + words.sum() + 1
-        self.unknown = self.total - self.count[words].sum(axis=0) + 1.0
+        self.size = np.maximum(total, 1.0) + words + 1
 
     def find(self, key: np.ndarray) -> np.ndarray:
         """Counts (n, 2) of keys; zero where a key is not in the vocabulary."""
@@ -90,7 +100,7 @@ class Model:
         w, one, pair, inside = tokens(texts)
         alone = self.find(one & ~np.uint64(1))
         known = alone.sum(axis=1, keepdims=True) > 0
-        share = np.where(known, alone + 1.0, self.unknown) / self.size
+        share = (alone + 1.0) / self.size
         if len(one) > 1:
             both = self.find(pair | np.uint64(1))
             before = alone[:-1]
@@ -99,37 +109,70 @@ class Model:
         return w.row, -np.log(np.minimum(share, 1.0))
 
 
-def fit(docs: DataFrame, target: Column, text: str = "text", floor: float = FLOOR) -> Model:
+def fit(docs: DataFrame, target: Column, text: str = "text") -> Fitted:
     table = shared.written(counts(docs, text, target), "counts")
-    words = table.where("key & 1 = 0").agg(F.sum("target"), F.sum("background")).first()
-    total = np.array([words[0] or 0, words[1] or 0], float)
-    t, b = (max(1.0, floor * x) for x in total)
-    kept = table.where((F.col("target") >= t) | (F.col("background") >= b)).toArrow()  # 2 / floor rows at most for words, and for pairs
-    count = np.stack([kept.column(1).to_numpy(), kept.column(2).to_numpy()], 1).astype(np.float64).reshape(-1, 2)
-    return Model(kept.column(0).to_numpy().view(np.uint64), count, total)
+    words = table.where("key & 1 = 0").agg(F.sum("target"), F.sum("background"), F.count("*")).first()
+    return Fitted(table, np.array([words[0] or 0, words[1] or 0], float), words[2])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with n_tokens, target_loss, background_loss and difference (means over the words; null for texts without any).
+def chunk_keys(chunked: DataFrame) -> DataFrame:
+    """(chunk_, key): the distinct keys of the words and pairs of each chunk of rows (chunk_, text); a chunk that is read in two pieces may repeat some."""
 
-    Rows are kept, repeated ones too; other columns pass through, but those names are replaced.
-    """
-    shared.tune(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    def run(batches):
+        now, held = None, []
+
+        def done():
+            key = np.unique(np.concatenate(held))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), now, np.int64)), pa.array(key.view(np.int64))], ["chunk_", "key"])
+
+        for part, texts in shared.slices(batches, 1):
+            chunk = part.column(0).to_numpy()
+            cut = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1], True])
+            for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                if chunk[x] != now:
+                    if held:
+                        yield done()
+                    now, held = chunk[x], []
+                _, one, pair, inside = tokens(texts.slice(x, y - x))
+                held.append(np.unique(np.concatenate([one & ~np.uint64(1), pair[inside] | np.uint64(1)])))
+        if held:
+            yield done()
 
-    def make():
-        m = sent.value
+    return chunked.mapInArrow(run, "chunk_ long, key long")
 
-        def f(texts):
-            row, loss = m.losses(texts)
-            n = np.bincount(row, minlength=len(texts))
-            means = [np.bincount(row, weights=loss[:, i], minlength=len(texts)) / np.maximum(n, 1) for i in (0, 1)]
-            none = n == 0
-            return [pa.array(n)] + [pa.array(x, mask=none) for x in (*means, means[0] - means[1])]
 
-        return f
+def score(docs: DataFrame, model: Fitted, text: str = "text") -> DataFrame:
+    """docs with n_tokens, target_loss, background_loss and difference (means over the words; null for texts without any).
 
-    return shared.extended(docs, text, make, "n_tokens long, target_loss double, background_loss double, difference double")
+    Rows are kept, repeated ones too; other columns pass through, but those names are replaced. A key has one row
+    per chunk in the join to the counts, so a frequent word is no more than the number of chunks.
+    """
+    shared.tune(docs.sparkSession)
+    total, words = model.total, model.words
+    new = ["n_tokens", "target_loss", "background_loss", "difference"]
+    at = docs.columns.index(text)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"))
+    chunked = shared.written(packed.select(F.shiftright(F.monotonically_increasing_id(), CHUNK).alias("chunk_"), "row_"), "chunks")
+    keys = chunk_keys(chunked.select("chunk_", F.col("row_").getField(text).alias("text")))
+    known = keys.join(model.table, "key").select("chunk_", "key", "target", "background")
+
+    def run(rows: pa.Table, counted: pa.Table) -> pa.Table:
+        count = np.stack([counted.column(i).to_numpy() for i in (2, 3)], 1).astype(np.float64).reshape(-1, 2)
+        m = Model(counted.column(1).to_numpy().view(np.uint64), count, total, words)
+        out = []
+        for b in rows.select(["row_"]).to_batches():
+            t = pc.struct_field(b.column(0), [at])
+            for part, texts in shared.slices([pa.RecordBatch.from_arrays([b.column(0), t], ["row_", "t"])], 1):
+                row, loss = m.losses(texts)
+                n = np.bincount(row, minlength=len(texts))
+                means = [np.bincount(row, weights=loss[:, i], minlength=len(texts)) / np.maximum(n, 1) for i in (0, 1)]
+                out.append(pa.RecordBatch.from_arrays([part.column(0), pa.array(n), *(pa.array(x, mask=n == 0) for x in (*means, means[0] - means[1]))], ["row_", *new]))
+        return pa.Table.from_batches(out)
+
+    schema = StructType([packed.schema["row_"], *StructType.fromDDL("n_tokens long, target_loss double, background_loss double, difference double").fields])
+    scored = chunked.groupBy("chunk_").cogroup(known.groupBy("chunk_")).applyInArrow(run, schema)
+    kept = [F.col("row_").getField(c).alias(c) for c in docs.columns if c not in new]
+    return scored.select(*kept, *new)
 
 
 def op7_lm_score(spark, sf_dir: str) -> DataFrame:
