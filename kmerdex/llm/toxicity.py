@@ -41,10 +41,11 @@ CODE = np.zeros(256, np.int64)
 CODE[97:123] = CODE[65:91] = np.arange(1, 27)
 CODE[128:] = 27
 
-#: Three or more single characters in a row, each on its own.
+#: Three or more single characters in a row, each on its own: one blank between them, and any white space.
 SPACED = re.compile(r"(?<!\S)(?:\S ){2,}\S(?!\S)")
-#: A sign inside or in front of letters, separated single letters, or a letter three times.
-DISGUISED = re.compile(r"[0-9@$!|+(€£][^\W\d_]|(?<![^\W_])[^\W\d_](?:[.\-_*~'][^\W_]){2,}|([^\W\d_])\1\1")
+WIDE = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
+#: A sign inside or in front of letters, separators inside a word with letters, or a letter twice or more.
+DISGUISED = re.compile(r"[0-9@$!|+(€£][^\W\d_]|[^\W\d_][.\-_*~']+[^\W_]|[^\W_][.\-_*~']+[^\W\d_]|([^\W\d_])\1")
 EDGES = string.punctuation
 
 
@@ -154,8 +155,9 @@ class Reader:
                 have = seen[raw] = self.word(raw)
             if have:
                 got.append(have)
-        for m in SPACED.finditer(text):
-            have = self.of(self.decoder.restore(m.group().lower()).split())
+        spaced = {m.group() for m in SPACED.finditer(text)} | {" ".join(m.group().split()) for m in WIDE.finditer(text)}
+        for found in spaced:
+            have = self.of(self.decoder.restore(found.lower()).split())
             if have:
                 got.append(have)
         return got
@@ -219,9 +221,15 @@ def restore(docs: DataFrame, decoder: Decoder, text: str = "text", out: str = "r
     def make():
         coder = sent.value
 
+        def word(raw: str) -> str:
+            low = raw.lower().rstrip(EDGES)
+            got = coder.restore(low) if DISGUISED.search(raw.lower()) else low
+            return raw if got == low else got
+
         def one(t: str) -> str:
-            t = SPACED.sub(lambda m: coder.restore(m.group().lower()), t)
-            return re.sub(r"\S+", lambda m: coder.restore(m.group().lower().rstrip(EDGES)) if DISGUISED.search(m.group().lower()) else m.group(), t)
+            for pattern in (SPACED, WIDE):
+                t = pattern.sub(lambda m: coder.restore(" ".join(m.group().lower().split())), t)
+            return re.sub(r"\S+", lambda m: word(m.group()), t)
 
         return lambda texts: [pa.array([one(t) for t in texts.to_pylist()], pa.string())]
 
