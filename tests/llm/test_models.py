@@ -90,46 +90,57 @@ def test_restored_text(spark, decoder):
     assert [r["restored"] for r in toxicity.restore(df, decoder).collect()] == ["Such a idiot moron and Hello!", ""]
 
 
-def brute_lm(rows, mix):
-    split = [((t or "").lower().split(), flag) for t, flag in rows]
-    out = []
+def brute_lm(rows, mix, counted=None):
+    """Differences of mean losses; each text is scored by the counts of all counted rows but itself."""
+    split = [((t or "").lower().split(), bool(flag)) for t, flag in rows]
+    counted = counted or [True] * len(rows)
     counts = []
     for want in (True, None):
         one, two = Counter(), Counter()
-        for w, flag in split:
-            if want is None or flag:
+        for (w, flag), use in zip(split, counted):
+            if use and (want is None or flag):
                 one.update(w)
                 two.update(zip(w, w[1:]))
         counts.append((one, two))
-    vocabulary = set(counts[1][0])
-    for w, _ in split:
+    vocabulary = len({x for w, _ in split for x in w})
+    out = []
+    for (w, flag), use in zip(split, counted):
         if not w:
             out.append(None)
             continue
         loss = []
-        for one, two in counts:
-            size = sum(one.values())
-            p = [(one[x] + 1) / (max(size, 1) + len(vocabulary) + 1) for x in w]
-            q = [p[0]] + [mix * two[a, b] / one[a] + (1 - mix) * p[i + 1] if one[a] else p[i + 1] for i, (a, b) in enumerate(zip(w, w[1:]))]
+        for (one, two), inside in zip(counts, (use and flag, use)):
+            own, pairs = (Counter(w), Counter(zip(w, w[1:]))) if inside else (Counter(), Counter())
+            size = sum(one.values()) - sum(own.values())
+            p = [(one[x] - own[x] + 1) / (size + vocabulary + 1) for x in w]
+            q = [p[0]]
+            for i, (a, b) in enumerate(zip(w, w[1:])):
+                before = one[a] - own[a]
+                q.append(mix * (two[a, b] - pairs[a, b]) / before + (1 - mix) * p[i + 1] if before else p[i + 1])
             loss.append(-sum(math.log(x) for x in q) / len(w))
         out.append(loss[0] - loss[1])
     return out
 
 
-def test_lm_scores(spark):
+@pytest.mark.parametrize("piece", [64, 1 << 21])
+def test_lm_scores(spark, monkeypatch, piece):
+    monkeypatch.setattr(lm_score, "LEAST_PIECE", piece)
+    monkeypatch.setattr(lm_score, "GRAIN", 1)
     rnd = random.Random(4)
     a, b = data.vocabulary(rnd, 30), data.vocabulary(rnd, 30)
-    rows = [(" ".join(rnd.choice(a if i % 2 else b) for _ in range(rnd.randint(1, 60))), bool(i % 2)) for i in range(60)] + [(None, True), ("", False), ("Zz zZ", None)]
+    rows = [(" ".join(rnd.choice(a if i % 2 else b) for _ in range(rnd.randint(1, 60))), bool(i % 2)) for i in range(60)]
+    rows += [(None, True), ("", False), ("Zz zZ", None), rows[0], rows[1], (" ".join(rnd.choices(a, k=6000)), True)]
     docs = spark.createDataFrame([(i, t, f, "x") for i, (t, f) in enumerate(rows)], "doc_id long, text string, good boolean, difference string")
-    model = lm_score.fit(docs, F.col("good"))
-    got = {r["doc_id"]: r for r in lm_score.score(docs, model).collect()}
-    for i, want in enumerate(brute_lm([(t, bool(f)) for t, f in rows], lm_score.MIX)):
-        have = got[i]["difference"]
-        assert (have is None) == (want is None) and (want is None or abs(have - want) < 1e-9), i
-    assert np.mean([got[i]["difference"] for i in range(1, 60, 2)]) < np.mean([got[i]["difference"] for i in range(0, 60, 2)])
-    assert lm_score.score(docs.limit(0), model).count() == 0
-    empty = lm_score.fit(docs.limit(0), F.col("good"))
-    assert lm_score.score(docs, empty).count() == len(rows)
+    for counted in (None, [i % 3 != 0 for i in range(len(rows))]):
+        got = {r["doc_id"]: r for r in lm_score.score(docs, F.col("good"), None if counted is None else F.col("doc_id") % 3 != 0).collect()}
+        assert len(got) == len(rows)
+        for i, want in enumerate(brute_lm(rows, lm_score.MIX, counted)):
+            have = got[i]["difference"]
+            assert (have is None) == (want is None) and (want is None or abs(have - want) < 1e-9), i
+        assert np.mean([got[i]["difference"] for i in range(1, 60, 2)]) < np.mean([got[i]["difference"] for i in range(0, 60, 2)])
+    assert lm_score.score(docs.limit(0), F.col("good")).count() == 0
+    twice = docs.unionByName(docs.limit(5))
+    assert lm_score.score(twice, F.col("good")).count() == len(rows) + 5
 
 
 def address(url):
