@@ -3,9 +3,10 @@
 1. Anchors. The anchor of a window is the smallest hash among its runs of GRAM words, so equal windows have
    equal anchors. An anchor that only one document has rules its windows out. The smallest document with
    an anchor is the anchor's owner, and no document before the owner can have one of its windows.
-2. Reference shards. The passages of an owner whose windows have anchors it owns are a shard; a suffix
-   automaton is built from each shard (in parts of bounded size) and sent along with the passages of all
-   other documents that have the same owner. The join splits and replicates a hot shard like any skewed key.
+2. Reference shards. The passages of an owner whose windows have anchors it owns are a shard. The passages of
+   other documents that have the same owner are dealt to salts of it, as many as their number asks for, and the
+   shard is replicated to each salt: one suffix automaton for a salt (in parts of bounded size), however hot its owner.
+   Shards as a whole grow with the corpus, so none is sent to all executors.
 3. Matching statistics. Each passage is streamed through its shard's automaton; where the longest match is
    as long as a window, the owner has that window, and its words go.
 4. Windows with a shared anchor that the owner itself lacks are few: the same round is run for them once more
@@ -28,6 +29,8 @@ WINDOW = 50
 GRAM = 30
 #: Words of a reference shard that one automaton holds.
 SHARD_WORDS = 200_000
+#: Passages that one copy of a shard is asked for, about; owners with more than that many which are broadcast at most.
+PROBES, BROADCAST_OWNERS = 256, 100_000
 
 
 class Automaton:
@@ -163,44 +166,66 @@ def _passages(batches, window, gram, round_):
 
 
 def _matched(batches, window, gram, next_round, most):
-    """For each passage: spans [s, e) of words that are covered by its owner's windows, and anchors of the next round for windows that aren't."""
-    kept: tuple | None = None
+    """For each passage: spans [s, e) of words that are covered by its owner's windows, and anchors of the next round for windows that aren't.
+
+    Rows are sorted by (owner, salt), the owner's own passages (probe is false) before those that are streamed through its automaton.
+    """
+    now, refs, auto = None, [], None
     for b in batches:
-        owner, ids, th, start, body, refs = b.columns
-        owners = owner.to_pylist()
+        owner, salt, probe, ids, th, start, body = b.columns
+        keys = list(zip(owner.to_pylist(), salt.to_pylist(), probe.to_pylist()))
         n = b.num_rows
-        spans: list = [None] * n
-        misses: list = [None] * n
+        at: list = []
+        spans: list = []
+        misses: list = []
         lo = 0
         while lo < n:
             hi = lo
-            while hi < n and owners[hi] == owners[lo]:
+            while hi < n and keys[hi] == keys[lo]:
                 hi += 1
-            split = [body[i].as_py().split() for i in range(lo, hi)]
+            if keys[lo][:2] != now:
+                now, refs, auto = keys[lo][:2], [], None
+            split = [x.split() for x in body.slice(lo, hi - lo).to_pylist()]
+            if not keys[lo][2]:
+                refs += split
+                lo = hi
+                continue
             covered = [np.zeros(max(0, len(x) - window + 1), bool) for x in split]
-            if kept is not None and kept[0] == owners[lo]:
-                parts = [kept[1]]
-            else:
-                kept = None
-                parts = map(Automaton, shards([x.split() for x in refs[lo].as_py()], window, most))
-            for count, auto in enumerate(parts):
+            count = 0
+            for a in [auto] if auto is not None else map(Automaton, shards(refs, window, most)):
+                count += 1
                 for x, c in zip(split, covered):
-                    c[np.array(auto.ends(x, window), np.int64) - (window - 1)] = True
-            kept = (owners[lo], auto) if count == 0 else None  # noqa: F821
+                    c[np.array(a.ends(x, window), np.int64) - (window - 1)] = True
+            auto = a if count == 1 else None  # noqa: F821
             got = shared.Words(body.slice(lo, hi - lo).cast(pa.binary()))
-            at, key = windows(got, window, gram, next_round)
-            first = np.searchsorted(got.row[at], np.arange(hi - lo + 1))
+            where, key = windows(got, window, gram, next_round)
+            first = np.searchsorted(got.row[where], np.arange(hi - lo + 1))
             for i, c in enumerate(covered):
                 edge = np.flatnonzero(np.diff(np.r_[False, c, False].astype(np.int8)))
                 base = start[lo + i].as_py()
-                spans[lo + i] = [{"s": base + int(s), "e": base + int(e) + window - 1} for s, e in zip(edge[::2], edge[1::2])]
-                misses[lo + i] = np.unique(key[first[i] : first[i + 1]][~c])
+                at.append(lo + i)
+                spans.append([{"s": base + int(s), "e": base + int(e) + window - 1} for s, e in zip(edge[::2], edge[1::2])])
+                misses.append(np.unique(key[first[i] : first[i + 1]][~c]))
             lo = hi
         kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([ids, th, pa.array(spans, kind), pa.array(misses, pa.list_(pa.int64()))], ["id", "th", "spans", "missed"])
+        take = pa.array(at, pa.int64())
+        yield pa.RecordBatch.from_arrays([ids.take(take), th.take(take), pa.array(spans, kind), pa.array(misses, pa.list_(pa.int64()))], ["id", "th", "spans", "missed"])
+
+
+def _dealt(cut: DataFrame, probes: int) -> DataFrame:
+    """Passages by (owner, salt): an owner's own passages, each once, go to all of its salts, those of others to one salt; a salt has about so many."""
+    hot = cut.where("id > owner").groupBy("owner").agg(F.ceil(F.count("*") / probes).cast("int").alias("salts")).where("salts > 1")
+    hot = shared.written(hot, "hot")
+    fit = F.broadcast if hot.count() <= BROADCAST_OWNERS else (lambda x: x)
+    salts = F.coalesce("salts", F.lit(1))
+    refs = cut.where("id = owner").select("owner", "id", "body").distinct().join(fit(hot), "owner", "left")
+    refs = refs.select("owner", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(False).alias("probe"), "id", F.lit(None).cast("long").alias("th"), F.lit(None).cast("int").alias("start"), "body")
+    streamed = cut.where("id > owner").join(fit(hot), "owner", "left")
+    streamed = streamed.select("owner", F.pmod(F.xxhash64("id", "th", "start"), salts).cast("int").alias("salt"), F.lit(True).alias("probe"), "id", "th", "start", "body")
+    return refs.unionByName(streamed).repartition("owner", "salt").sortWithinPartitions("owner", "salt", "probe")
 
 
-def spans(d: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS) -> DataFrame:
+def spans(d: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS, probes: int = PROBES) -> DataFrame:
     """(id, th, spans) for rows (id, th, text): spans of words covered by windows that a smaller id has."""
     spark = d.sparkSession
     shared.tune(spark)
@@ -213,9 +238,7 @@ def spans(d: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int
         at = round_
         cut = d.join(marks, "id").select("id", "th", "text", "keys", "owners").mapInArrow(lambda b, at=at: _passages(b, window, gram, at), f"owner {kind}, id {kind}, th long, start int, body binary")
         cut = shared.written(cut, "passages")
-        refs = cut.where("id = owner").groupBy("owner").agg(F.collect_set("body").alias("refs"))
-        pairs = cut.where("id > owner").join(refs.hint("merge"), "owner").select("owner", "id", "th", "start", "body", "refs")
-        got = pairs.mapInArrow(lambda b, at=at: _matched(b, window, gram, at + 1, shard_words), f"id {kind}, th long, spans array<struct<s:int,e:int>>, missed array<long>")
+        got = _dealt(cut, probes).mapInArrow(lambda b, at=at: _matched(b, window, gram, at + 1, shard_words), f"id {kind}, th long, spans array<struct<s:int,e:int>>, missed array<long>")
         got = shared.written(got, "matched")
         part = got.where("size(spans) > 0").select("id", "th", "spans")
         found = part if found is None else found.unionByName(part)
@@ -258,7 +281,7 @@ def _kept(texts: pa.Array, spans_: pa.Array) -> list[pa.Array]:
     return [text, pa.array(n), pa.array(n - left)]
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS, probes: int = PROBES) -> DataFrame:
     """docs with columns kept_, n_words_, n_removed_ (and spans_, the removed spans, not merged).
 
     kept_ has the words not removed, joined by one space. Words are runs of anything but white space (0x20,
@@ -269,7 +292,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     shared.tune(docs.sparkSession)
     d = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
-    got = spans(d, window, gram, shard_words).select(F.col("id").alias("id_"), F.col("th").alias("th_"), F.col("spans").alias("spans_"))
+    got = spans(d, window, gram, shard_words, probes).select(F.col("id").alias("id_"), F.col("th").alias("th_"), F.col("spans").alias("spans_"))
     names = [c for c in docs.columns if c not in ("kept_", "n_words_", "n_removed_", "spans_")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row_"), F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("th"))
     both = rows.join(got, (F.col("id") == F.col("id_")) & (F.col("th") == F.col("th_")), "left")
@@ -288,6 +311,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """Per document its number of words, how many windows of 50 words that a smaller doc_id has cover, and the hash of the others; a null text has none."""
     docs = shared.read(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", F.col("n_words_").alias("n_words"), F.col("n_removed_").alias("n_removed"), F.sha2(F.col("kept_").cast("binary"), 256).alias("kept_sha256"))
 

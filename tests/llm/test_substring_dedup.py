@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from kmerdex.llm import substring_dedup as S
 
 from . import data
@@ -23,11 +25,12 @@ def brute(docs, window):
     return out
 
 
-def test_brute_force(spark):
+@pytest.mark.parametrize("probes", [2, 256])
+def test_brute_force(spark, probes):
     docs = data.documents(spark)
     by_id = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] is not None}
     want = brute(by_id, 50)
-    got = S.remove_repeats(docs, shard_words=200).collect()
+    got = S.remove_repeats(docs, shard_words=200, probes=probes).collect()
     assert len(got) == docs.count()
     for r in got:
         if r["doc_id"] is None:
