@@ -8,8 +8,8 @@ model minus loss under the background; the text itself is left out of the counts
 No table of counts is gathered or stored. Documents are cut into pieces of about S bytes. A piece sends its sorted
 distinct keys with their counts, cut by key range into P parts; a part adds up its keys over all pieces and answers each piece, in
 the order in which the keys came, with the counts of all other pieces. S is the root of GRAIN times the bytes of
-all texts (2 MB at least) and P their ratio, so that a piece's share of a part stays worth a row at any size: a task holds
-about S bytes of text or the keys of as much, 5 MB for 50 GB of text and 300 MB for 170 TB.
+all texts (8 MB at least) and P their ratio, so that a piece's share of a part stays worth a row at any size: a task holds
+about S bytes of text or the keys of as much, 8 MB up to 100 GB of text and 300 MB for 170 TB.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ MIX = 0.6
 #: Bits of a key; the lowest tells pairs from words. Of 10 ** 13 keys, 2 in 10,000 share one with another.
 KEY_BITS = 56
 #: Bytes of text of a piece at least, and bytes whose keys make one row of a piece's share of a part worth while.
-LEAST_PIECE, GRAIN = 1 << 21, 560
+LEAST_PIECE, GRAIN = 1 << 23, 560
 #: A text that is longer than so many average ones is a chunk of its own.
 LONG = 64
 
@@ -109,31 +109,32 @@ class Piece:
         return -np.log(share)
 
 
-def _pieces(batches, size: int):
-    """Consecutive rows (chunk, seq, target, counted, text) of one chunk, up to about size bytes: chunk, first and last seq, texts, weights."""
+def _pieces(batches, size: int, lengths):
+    """(rows, chunk): consecutive rows (chunk, seq, target, counted, ...) of one chunk, of up to about size bytes by the lengths of a batch's rows."""
     held, chunk, have = [], None, 0
+
+    def joined(more):
+        return pa.Table.from_batches([*held, *more]).combine_chunks().to_batches()[0]
+
     for b in batches:
-        numbers = b.column(0).to_numpy()
-        length = pc.binary_length(b.column(4)).to_numpy(zero_copy_only=False)
+        numbers, length = b.column(0).to_numpy(), lengths(b)
         lo = 0
         for i in range(b.num_rows):
             if (held or i > lo) and (numbers[i] != chunk or have >= size):
-                yield _piece([*held, b.slice(lo, i - lo)], chunk)
+                yield joined([b.slice(lo, i - lo)] if i > lo else []), int(chunk)
                 held, have, lo = [], 0, i
             chunk = numbers[i]
             have += int(length[i])
         if lo < b.num_rows:
             held.append(b.slice(lo))
     if held:
-        yield _piece(held, chunk)
+        yield joined([]), int(chunk)
 
 
-def _piece(held: list[pa.RecordBatch], chunk: int):
-    rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-    seq = rows.column(1).to_numpy()
-    counted = rows.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
-    target = rows.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-    return int(chunk), int(seq[0]), int(seq[-1]), rows.column(4), np.stack([target * counted, counted], 1)
+def _weights(rows) -> np.ndarray:
+    """(rows, 2) how often each row counts in the target and in the background."""
+    target, counted = (rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("target", "counted"))
+    return np.stack([target * counted, counted], 1)
 
 
 def score(docs: DataFrame, target: Column, counted: Column | None = None, text: str = "text") -> DataFrame:
@@ -165,8 +166,9 @@ def score(docs: DataFrame, target: Column, counted: Column | None = None, text:
     texts = F.coalesce(F.col("row_").getField(text), F.lit("")).alias("text")
 
     def send(batches):
-        for chunk, lo, hi, t, weight in _pieces(batches, 2 * piece):
-            p = Piece(t, weight)
+        for rows, chunk in _pieces(batches, 2 * piece, lambda b: pc.binary_length(b.column(4)).to_numpy(zero_copy_only=False)):
+            p = Piece(rows.column(4), _weights(rows))
+            lo, hi = rows.column(1)[0].as_py(), rows.column(1)[-1].as_py()
             edge = p.bounds(parts)
             some = np.flatnonzero(np.diff(edge))
             cut = [(edge[k], edge[k + 1]) for k in some]
@@ -203,8 +205,16 @@ def score(docs: DataFrame, target: Column, counted: Column | None = None, text:
     sums = got.where("words is not null").agg(*[F.coalesce(F.sum(F.element_at("words", i)), F.lit(0)) for i in (1, 2, 3)]).first()
     vocabulary, words = sums[0], np.array(sums[1:], np.int64)
 
-    def judge(rows, answers):
-        rows, answers = rows.sort_by("seq"), answers.sort_by([("lo", "ascending"), ("part", "ascending")])
+    def pack(batches):
+        for rows, chunk in _pieces(batches, 2 * piece, lambda b: pc.fill_null(pc.binary_length(pc.struct_field(b.column(4), [at])), 0).to_numpy(zero_copy_only=False)):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["chunk", "rows"])
+
+    def judge(boxes, answers):
+        rows = pa.concat_tables([pa.ipc.open_stream(x.as_py()).read_all() for x in boxes.column("rows")]).sort_by("seq")
+        answers = answers.sort_by([("lo", "ascending"), ("part", "ascending")])
         seq = rows.column("seq").to_numpy()
         out = []
         lows = answers.column("lo").to_numpy()
@@ -215,8 +225,7 @@ def score(docs: DataFrame, target: Column, counted: Column | None = None, text:
         for x, y in zip(edges[:-1], edges[1:]):
             part = rows.slice(x, y - x).combine_chunks().to_batches()[0]
             t = pc.fill_null(pc.struct_field(part.column("row_"), [at]), "")
-            counted = part.column("counted").to_numpy(zero_copy_only=False).astype(np.int64)
-            p = Piece(t, np.stack([part.column("target").to_numpy(zero_copy_only=False).astype(np.int64) * counted, counted], 1))
+            p = Piece(t, _weights(part))
             a, z = said.get(int(seq[x]), (0, 0))
             back = answers.slice(int(a), int(z - a))
             rest = [np.concatenate([unpacked(b, m) for b, m in zip(back.column(c).to_pylist(), back.column("n").to_pylist())] or [np.zeros(0, np.uint64)]) for c in ("target", "background")]
@@ -230,7 +239,8 @@ def score(docs: DataFrame, target: Column, counted: Column | None = None, text:
 
     schema = StructType([table.schema["row_"], *StructType.fromDDL("n_tokens long, target_loss double, background_loss double, difference double").fields])
     answers = got.where("words is null").select("chunk", "lo", "hi", "part", "n", "target", "background")
-    judged = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(judge, schema)
+    boxes = chunked.mapInArrow(pack, "chunk long, rows binary")
+    judged = boxes.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(judge, schema)
     kept = [F.col("row_").getField(c).alias(c) for c in docs.columns if c not in new]
     return judged.select(*kept, *new)
 
