@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from kmerdex.llm import decontaminate as D
@@ -48,24 +50,52 @@ def test_contamination(spark, monkeypatch):
     assert D.clean(docs, table.limit(0)).count() == docs.count() and D.contamination(docs.limit(0), table).count() == 0
 
 
-def dice(a, b):
-    def bag(x):
-        w = words(x.lower())
-        return [(p, q) for p, q in zip(w, w[1:])]
-
-    x, y = bag(a), bag(b)
-    both = sum(min(x.count(p), y.count(p)) for p in set(x))
-    return 2 * both / (len(x) + len(y)) if x and y else 0.0
+def found_licenses(text, templates, threshold):
+    w = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower()) if x]
+    pairs = list(zip(w, w[1:]))
+    for name, notice in templates.items():
+        n = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", notice.lower()) if x]
+        tb = set(zip(n, n[1:]))
+        best = None
+        for i, p in enumerate(pairs):
+            if p in tb:
+                own = pairs[i : i + len(n) - 1]
+                d = 2 * len(set(own) & tb) / (len(set(own)) + len(tb))
+                if d >= threshold and (best is None or d > best[0]):
+                    best = (d, i, len(own) + 1)
+        if best:
+            yield name, *best
 
 
 def test_licenses(spark):
-    t = [None, "", "MIT", "Released under the MIT License.", "x\nreleased under THE mit license\ny", "Released under the the MIT License", "All rights reserved. All rights reserved.", "All Rights Reserved",
-         "Licensed under the Apache License, Version 2.0 and more", "a b\nLicensed under CC BY-NC 4.0\n" + "word " * 5000, "LICENSED under CC BY 4.0.", "Released under the MIT License."]
-    docs = spark.createDataFrame([(i, x, "c") for i, x in enumerate(t)] + [(None, t[3], "c")], "doc_id long, text string, template string")
-    want = []
-    for i, x in [*enumerate(t), (None, t[3])]:
-        lines = (x or "").split("\n")
-        for s, part in enumerate([x or "", *(lines if len(lines) > 1 else [])]):
-            want += [(i, s, name, dice(part, notice)) for name, notice in L.TEMPLATES.items() if dice(part, notice) >= L.THRESHOLD]
-    assert sorted(map(str, map(tuple, L.scan(docs).collect()))) == sorted(map(str, want))
-    assert L.scan(docs.limit(0)).count() == 0
+    rnd = random.Random(2)
+    full = L.TEMPLATES["mit-text"]
+    wrapped = "\n// ".join(full[i : i + 60] for i in range(0, len(full), 60))  # broken inside words, too
+    lines, words = "\n * ".join(" ".join(full.split()[i : i + 9]) for i in range(0, len(full.split()), 9)), full.split()
+    edited = " ".join(x if rnd.random() > 0.04 else "xyz" for x in words)
+    half = " ".join(words[: len(words) // 2])
+    t = [None, "", "MIT", "Released under the MIT License.", "x\nreleased under THE mit license\ny", "Released under the the MIT License", "All rights reserved. All rights reserved.", "All Rights Reserved",
+         "Licensed under the Apache License, Version 2.0 and more", "a b\nLicensed under CC BY-NC 4.0\n" + "word " * 5000, "LICENSED under CC BY 4.0.", "Released under the MIT License.",
+         "Copyright 2020 Acme. Released\n    under the MIT\nLicense. More", "Licensed under the\nApache License,\nVersion 2.0.", wrapped, "intro " * 300 + lines + " outro" * 300, edited, half,
+         L.TEMPLATES["bsd-3-clause-text"].upper(), "a\n" + L.TEMPLATES["bsd-2-clause-text"] + "\nb", "the software " * 2000]
+    docs = spark.createDataFrame([(i, x, "c") for i, x in enumerate(t)] + [(None, t[3], "c"), (3, t[3], "c")], "doc_id long, text string, template string")
+    want = [(i, *hit) for i, x in [*enumerate(t), (None, t[3]), (3, t[3])] for hit in found_licenses(x, L.TEMPLATES, L.THRESHOLD)]
+    got = list(map(tuple, L.scan(docs).collect()))
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert {12, 15, 16, 18} <= {r[0] for r in got} and (15, "mit-text") in {r[:2] for r in got} and 17 not in {r[0] for r in got}
+    assert L.scan(docs.limit(0)).count() == 0 and L.scan(docs, {}).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.9])
+def test_anchors_lose_no_window(spark, threshold):
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(12)]
+    templates = {f"t{k}": " ".join(rnd.choice(words) for _ in range(k)) for k in (2, 3, 6, 15)}
+    texts = []
+    for _ in range(150):
+        w = rnd.choice(list(templates.values())).split()
+        w = [x if rnd.random() > 0.2 else rnd.choice(words) for x in w]
+        texts.append(" ".join([rnd.choice(words) for _ in range(rnd.randint(0, 8))] + w + [rnd.choice(words) for _ in range(rnd.randint(0, 8))]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [(i, *hit) for i, x in enumerate(texts) for hit in found_licenses(x, templates, threshold)]
+    assert want and sorted(map(str, map(tuple, L.scan(docs, templates, threshold).collect()))) == sorted(map(str, want))
