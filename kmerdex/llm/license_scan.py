@@ -103,9 +103,10 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     """
     t = prepared(docs.sparkSession, templates, threshold)
     anchors = t.select("template", "least", F.posexplode("ranked").alias("rank", "p"))
-    d = docs.select(F.col(doc_id).alias("doc_id"), normalised(F.col(text)).alias("w")).select("doc_id", bigrams(F.col("w")).alias("pairs"))
+    # no text is null, so no filter of null bigrams is inferred, which would make them twice
+    d = docs.select(F.col(doc_id).alias("doc_id"), normalised(F.coalesce(F.col(text), F.lit(""))).alias("w")).select("doc_id", bigrams(F.col("w")).alias("pairs"))
     d = d.withColumn("distinct", F.array_distinct("pairs"))
-    # not explode: for it a filter of texts with no bigrams is inferred, which makes their bigrams twice
+    # not explode: for it a filter of texts without bigrams is inferred
     hit = d.select("doc_id", "pairs", "distinct", F.explode_outer("distinct").alias("p")).join(F.broadcast(anchors), "p").where(F.size("distinct") >= F.col("least"))
     # one row for each text and template: that of the best-ranked anchor in the text
     one = hit.join(F.broadcast(t.drop("least")), "template").where(~F.arrays_overlap(F.slice("ranked", 1, F.col("rank")), "distinct"))
