@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import argparse
 import sys
+from datetime import datetime, timezone
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +49,7 @@ def parser() -> argparse.ArgumentParser:
     c = verbs.add_parser("validate", help="compare answers with the samples")
     c.add_argument("-i", "--input-list", required=True)
     c.add_argument("-p", "--index-prefix", required=True)
-    c.add_argument("-f", "--format", choices=("tokens", "fasta", "parquet"), default="tokens")
+    c.add_argument("-f", "--format", choices=("tokens", "fasta", "parquet"), help="of the samples, as they were built by default")
     c.add_argument("file")
 
     t = verbs.add_parser("validatemst", help="compare the tree with the classes")
@@ -64,50 +66,50 @@ def parser() -> argparse.ArgumentParser:
 def samples(spark: SparkSession, listed: str, format: str, k: int, cutoff: int) -> tuple[DataFrame, DataFrame]:
     """experiments and (sample_id, kmer) of the listed paths; a sample is a path, its id the place in the list."""
     manifest = stored(io.read_manifest(spark, listed), "manifest")
-    paths = [r["path"] for r in manifest.select("path").collect()]  # as many as there are samples
+    files = stored(io.files_of(spark, manifest), "files")
+    paths = sorted({unquote(r["file"]) for r in files.select("file").collect()})  # the driver has listed them
     if not paths:
         raise ValueError("the list names no sample")
-    file = F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", "")
-    ids = F.broadcast(manifest.withColumnRenamed("path", "sample"))
     if format == "parquet":
-        found = spark.read.parquet(*paths).select(file.alias("file"), "kmer", "count").where(F.col("count") >= cutoff)
+        found = spark.read.parquet(*paths).select(io.file_address(), "kmer", "count").where(F.col("count") >= cutoff)
+    elif format == "fasta":
+        found = io.fasta_records(spark, paths)
     else:
-        text = spark.read.option("lineSep", ">" if format == "fasta" else "\n").text(paths).select(file.alias("file"), "value")
-        if format == "fasta":
-            seq = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
-        else:
-            seq = F.regexp_replace("value", r"\s+", "N")  # white space parts sequences as an invalid base does
-        found = text.select("file", seq.alias("seq"))
-    found = found.join(ids, F.col("file").endswith(F.col("sample")))
+        found = spark.read.text(paths).select(io.file_address(), F.regexp_replace("value", r"\s+", "N").alias("seq"))  # white space parts sequences as an invalid base does
+    fit = F.broadcast if len(paths) <= X.BROADCAST_SAMPLES else (lambda x: x)
+    found = found.join(fit(files.select("file", "sample_id")), "file")
+    experiments = manifest.withColumnRenamed("path", "sample")
     if format == "parquet":
-        return manifest.withColumnRenamed("path", "sample"), found.select("sample_id", "kmer")
-    return manifest.withColumnRenamed("path", "sample"), X.count_kmers(found, k, cutoff=cutoff).select("sample_id", "kmer")
+        return experiments, found.select("sample_id", "kmer")
+    return experiments, X.count_kmers(found, k, cutoff=cutoff).select("sample_id", "kmer")
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("kmerdex").getOrCreate()
     if a.verb == "build":
+        started = datetime.now(timezone.utc).isoformat()
         experiments, rows = samples(spark, a.input_list, a.format, a.k, a.cutoff)
         index = X.build_index(rows, experiments, a.k)
-        io.save_index(index, a.output)
+        io.save_index(index, a.output, build={"cutoff": a.cutoff, "format": a.format, "inputs": a.input_list, "started": started})
         if a.class_distribution:
             index.color_classes.select("color_id", "abundance").write.mode("overwrite").csv(f"{a.output}/class_distribution", sep="\t")
         return 0
     index, tree = io.load_index(spark, a.index_prefix)
     if a.verb == "mst":
         tree = stored(mst.encode(index), "tree")
-        # what is read from the folder is copied before the folder is written again
-        copy = X.Index(index.k, stored(index.dbg), stored(index.color_classes), stored(index.experiments))
-        io.save_index(copy, a.index_prefix, tree, keep_classes=a.keep_classes)
+        io.save_tree(index, a.index_prefix, tree, a.keep_classes)
     elif a.verb == "query":
         queries = io.read_sequences(spark, a.file, a.format)
         classes = index.color_classes if a.use_classes or tree is None else mst.decode(tree)
         answer = named(query(index, queries, a.k, classes), index.experiments)
         head = num_kmers(queries, a.k or index.k)
+        if not a.json and a.k and a.k > index.k:  # there a text header has the length of the sequence
+            head = queries.select("qid", F.length("seq").cast("long").alias("num_kmers"))
         io.write_blocks(io.result_json(answer, head) if a.json else io.result_text(answer, head, "" if a.use_classes else "seq"), a.output)
     elif a.verb == "validate":
-        _, rows = samples(spark, a.input_list, a.format, index.k, 1)
+        meta = io.read_meta(spark, a.index_prefix)
+        _, rows = samples(spark, a.input_list, a.format or meta.get("format", "tokens"), index.k, meta.get("cutoff", 1))
         wrong = validate.validate(index, rows, io.read_sequences(spark, a.file)).count()
         print(f"{wrong} answers differ" if wrong else "all answers are right")
         return int(wrong > 0)

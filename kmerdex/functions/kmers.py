@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Bases in ascending order; the place of a base is its digit.
 BASES = "CATG"
 DIGITS = "0123"
+#: Windows of one piece of a run.
+PIECE = 1 << 16
 
 
 def digits(word: Column) -> Column:
@@ -42,9 +44,9 @@ def canonical(word: Column) -> Column:
 
 
 def pack(word: Column) -> Column:
-    """The word as a number of two bits a base, as a long up to 31 bases and a decimal(20) beyond."""
-    number = F.conv(digits(word), 4, 10)
-    return F.when(F.length(word) <= 31, number).otherwise(number).cast("decimal(20,0)")
+    """The word as a number of two bits a base; a word of more than 32 bases has none and raises an error."""
+    number = F.conv(digits(word), 4, 10).cast("decimal(20,0)")
+    return F.when(F.length(word) <= 32, number).when(word.isNotNull(), F.raise_error(F.lit("only words of up to 32 bases can be packed")).cast("decimal(20,0)"))
 
 
 def unpack(number: Column, k: int) -> Column:
@@ -102,6 +104,12 @@ def neighbors(df: DataFrame, kmer: str, *keep: str) -> DataFrame:
     return w.select(*keep, "kmer", F.explode(F.array_distinct(F.array(*out))).alias("neighbor"))
 
 
+def random_words(spark, n: int, length: int, seed: int = 0):
+    """(id, word): n words of random bases, the same for the same seed however they are partitioned."""
+    at = F.sequence(F.lit(1), F.lit(length))
+    return spark.range(n).select("id", F.array_join(F.transform(at, lambda i: F.substring(F.lit(BASES), F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i), F.lit(4)).cast("int") + 1, F.lit(1))), "").alias("word"))
+
+
 def first_part(text: Column, separator: str) -> Column:
     return F.substring_index(text, separator, 1)
 
@@ -113,24 +121,27 @@ def last_part(text: Column, separator: str) -> Column:
 def kmers(df: DataFrame, seq: str, k: int, *keep: str) -> DataFrame:
     """(keep, run, pos, kmer): every window of k valid bases in canonical form; runs of valid bases and places in them count from 1.
 
-    The digits of a run and of its reverse complement are made once; windows are cut from them as bytes,
-    where cutting takes the same time at any place, inside generated code.
+    A run is cut into pieces that overlap by k - 1 bases, so that no array grows with the run. The digits of a piece and of its
+    reverse complement are made once; windows are cut from them as bytes, where cutting takes the same time at any place, inside generated code.
     """
     if k < 1:
         raise ValueError("k must be positive")
-    runs = df.select(*keep, F.posexplode(F.split(F.col(seq), "[^ACGT]+")).alias("run", "w")).where(F.length("w") >= k)
+    runs = df.select(*keep, F.posexplode(F.split(F.col(seq), "[^ACGT]+")).alias("run", "whole")).where(F.length("whole") >= k)
+    whole = F.col("whole").cast("binary")
+    runs = runs.select(*keep, "run", F.explode(F.sequence(F.lit(0), F.floor((F.length("whole") - k) / PIECE).cast("int"))).alias("piece"), whole.alias("whole"))
+    runs = runs.select(*keep, "run", "piece", F.substring(F.col("whole"), F.col("piece") * PIECE + 1, F.lit(PIECE + k - 1)).cast("string").alias("w"))
     rc = reverse_complement(F.col("w"))
     b = runs.select(
-        *keep, (F.col("run") + 1).alias("run"), F.col("w").cast("binary").alias("w"), rc.cast("binary").alias("rc"),
+        *keep, (F.col("run") + 1).alias("run"), (F.col("piece") * PIECE).alias("base"), F.col("w").cast("binary").alias("w"), rc.cast("binary").alias("rc"),
         digits(F.col("w")).cast("binary").alias("d"), digits(rc).cast("binary").alias("rd"), F.length("w").alias("n"),
     )
-    at = b.select(*keep, "run", "w", "rc", "d", "rd", "n", F.explode(F.sequence(F.lit(1), F.col("n") - (k - 1))).alias("pos"))
+    at = b.select(*keep, "run", "base", "w", "rc", "d", "rd", "n", F.explode(F.sequence(F.lit(1), F.col("n") - (k - 1))).alias("pos"))
 
     def cut(name, i):
         return F.substring(F.col(name), i, F.lit(k))
 
     back = F.col("n") - (k - 2) - F.col("pos")
-    return at.select(*keep, "run", "pos", F.when(cut("d", F.col("pos")) >= cut("rd", back), cut("w", F.col("pos"))).otherwise(cut("rc", back)).cast("string").alias("kmer"))
+    return at.select(*keep, "run", (F.col("base") + F.col("pos")).alias("pos"), F.when(cut("d", F.col("pos")) >= cut("rd", back), cut("w", F.col("pos"))).otherwise(cut("rc", back)).cast("string").alias("kmer"))
 
 
 def register(spark) -> None:

@@ -7,8 +7,11 @@ edges are few (a stated bound) and by Boruvka rounds over tables beyond it; both
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 from ..functions.kmers import neighbors
 from .index import Index
@@ -47,27 +50,56 @@ def weighted_edges(edges: DataFrame, classes: DataFrame) -> DataFrame:
 def spanning_tree(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     """The edges (u, v, w) of the minimum spanning forest."""
     if edges.limit(driver_edges + 1).count() <= driver_edges:
-        return _kruskal(edges)
+        return _table(edges, _kruskal(edges), "u long, v long, w int")
     return _boruvka(edges)
 
 
-def _kruskal(edges: DataFrame) -> DataFrame:
-    rows = sorted((r["w"], r["u"], r["v"]) for r in edges.toArrow().to_pylist())
-    top: dict[int, int] = {}
-
-    def find(x):
-        while top.setdefault(x, x) != x:
-            top[x] = top[top[x]]
-            x = top[x]
-        return x
-
+def rooted_tree(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
+    """(color_id, parent_id, weight) of every color in the minimum spanning tree; rooted where the tree is built."""
+    if edges.limit(driver_edges + 1).count() > driver_edges:
+        return rooted(_boruvka(edges))
+    u, v, w = _kruskal(edges)
+    a, b, w = np.r_[u, v], np.r_[v, u], np.r_[w, w]
+    order = np.argsort(a, kind="stable")
+    a, b, w = a[order], b[order], w[order]
+    level, found = np.array([ROOT]), [np.zeros((3, 0), np.int64)]
+    above = np.array([ROOT - 1])
+    while len(level):
+        lo, hi = np.searchsorted(a, level), np.searchsorted(a, level, side="right")
+        n = hi - lo
+        at = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+        parent, up = np.repeat(level, n), np.repeat(above, n)
+        down = b[at] != up
+        level, above = b[at][down], parent[down]
+        found.append(np.stack([level, above, w[at][down]]))
+    return _table(edges, np.concatenate(found, axis=1), "color_id long, parent_id long, weight int")
+
+
+def _table(df: DataFrame, columns, fields: str) -> DataFrame:
+    kind = StructType.fromDDL(fields)
+    arrays = [pa.array(c, pa.int32() if f.dataType == IntegerType() else pa.int64()) for c, f in zip(columns, kind)]
+    return df.sparkSession.createDataFrame(pa.table(arrays, names=kind.names), kind)
+
+
+def _kruskal(edges: DataFrame) -> np.ndarray:
+    """(u, v, w) of the forest's edges; the edges are three arrays on the driver, 24 bytes each."""
+    t = edges.select("u", "v", F.col("w").cast("long").alias("w")).toArrow()
+    u, v, w = (t.column(c).to_numpy() for c in ("u", "v", "w"))
+    order = np.lexsort((v, u, w))
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    top = list(range(len(nodes)))
     kept = []
-    for w, u, v in rows:
-        a, b = find(u), find(v)
+    for i, a, b in zip(order.tolist(), place[: len(u)][order].tolist(), place[len(u) :][order].tolist()):
+        while top[a] != a:
+            top[a] = top[top[a]]
+            a = top[a]
+        while top[b] != b:
+            top[b] = top[top[b]]
+            b = top[b]
         if a != b:
             top[a] = b
-            kept.append((u, v, w))
-    return edges.sparkSession.createDataFrame(kept, "u long, v long, w int")
+            kept.append(i)
+    return np.stack([u[kept], v[kept], w[kept]])
 
 
 def _boruvka(edges: DataFrame) -> DataFrame:
@@ -102,7 +134,7 @@ def rooted(tree: DataFrame) -> DataFrame:
 def encode(index: Index, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     """color_mst(color_id, parent_id, weight, delta): each class as its difference from its parent in the tree."""
     edges = weighted_edges(stored(color_edges(index), "color-edges"), index.color_classes)
-    tree = rooted(spanning_tree(edges, driver_edges))
+    tree = rooted_tree(edges, driver_edges)
     c = index.color_classes
     a = tree.join(c.select("color_id", "samples"), "color_id").join(c.select(F.col("color_id").alias("parent_id"), F.col("samples").alias("up")), "parent_id", "left")
     return a.select("color_id", "parent_id", "weight", difference(F.col("samples"), F.coalesce("up", F.array().cast("array<int>"))).alias("delta"))

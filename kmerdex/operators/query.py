@@ -20,6 +20,11 @@ def num_kmers(queries: DataFrame, k: int) -> DataFrame:
     return queries.select("qid").join(found, "qid", "left").select("qid", F.coalesce("num_kmers", F.lit(0)).cast("long").alias("num_kmers"))
 
 
+def total_kmers(queries: DataFrame, k: int) -> DataFrame:
+    """One row: total, the numbers of distinct k-mers of all queries added up."""
+    return num_kmers(queries, k).agg(F.coalesce(F.sum("num_kmers"), F.lit(0)).alias("total"))
+
+
 def query(index: Index, queries: DataFrame, k: int | None = None, classes: DataFrame | None = None) -> DataFrame:
     """(qid, sample_id, n): n > 0 distinct k-mers of the query are in the sample.
 

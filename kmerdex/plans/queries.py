@@ -299,9 +299,8 @@ _algebra("multiset_totals", "SELECT count(*) AS n_distinct, CAST(sum(count) AS B
 
 @_both("multiset_multi_merge", f"WITH {_kmers('w', _talks, 'sample', GRAPH_K)} SELECT kmer, count(*) AS count FROM w GROUP BY kmer")
 def multiset_multi_merge(spark, sf_dir):
-    counts = X.count_kmers(fx.talks(spark, sf_dir), GRAPH_K, sample="sample")
-    turns = [r["sample_id"] for r in counts.select("sample_id").distinct().collect()]  # names of samples only
-    return multiset.merge(*[counts.where(F.col("sample_id").eqNullSafe(t)) for t in sorted(turns, key=str)])
+    # the multisets of all turns lie in one table, so any number of them merges in one aggregate
+    return multiset.merge(X.count_kmers(fx.talks(spark, sf_dir), GRAPH_K, sample="sample"))
 
 
 # --- colors and graph --------------------------------------------------------------------------------
@@ -351,7 +350,16 @@ def mst_total_weight(spark, sf_dir):
     return talk_tree(spark, sf_dir).agg(F.sum("weight").alias("weight"))
 
 
-@_both("mst_edges", None)  # which of equally good trees is found depends on the order of equal weights
+@_both(
+    "mst_edges",
+    # Prim from the root: edges ordered by (w, u, v) make the tree unique, and a node's parent is the end that was there before it
+    f"""{_graph.replace("WITH", "WITH RECURSIVE", 1)}, {_edges}, {_weights},
+prim(n, seen, color_id, parent_id, weight) AS (SELECT 0, [CAST(-1 AS BIGINT)], CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS INTEGER) UNION ALL
+  SELECT * FROM (SELECT p.n + 1, list_append(p.seen, CASE WHEN list_contains(p.seen, e.u) THEN e.v ELSE e.u END), CASE WHEN list_contains(p.seen, e.u) THEN e.v ELSE e.u END, CASE WHEN list_contains(p.seen, e.u) THEN e.u ELSE e.v END, e.w
+    FROM prim p JOIN we e ON list_contains(p.seen, e.u) <> list_contains(p.seen, e.v) ORDER BY e.w, e.u, e.v LIMIT 1) t),
+pair AS (SELECT prim.color_id, parent_id, weight, a.samples AS x, coalesce(b.samples, []) AS y FROM prim JOIN classes a ON a.color_id = prim.color_id LEFT JOIN classes b ON b.color_id = parent_id)
+SELECT color_id, parent_id, weight, {_text.format("list_sort(list_concat(list_filter(x, lambda s: NOT list_contains(y, s)), list_filter(y, lambda s: NOT list_contains(x, s))))")} AS delta FROM pair""",
+)
 def mst_edges(spark, sf_dir):
     return talk_tree(spark, sf_dir).select("color_id", "parent_id", "weight", _list("delta").alias("delta"))
 
@@ -383,23 +391,42 @@ def mono_size_hist(spark, sf_dir):
 
 @_both(
     "jmer_confused",
-    f"""WITH {_index(_talks, GRAPH_K)}, part AS (SELECT kmer AS word, kmer[i:i + {J - 1}] AS x FROM (SELECT kmer, unnest(generate_series(1, {GRAPH_K - J + 1})) AS i FROM dbg) t),
-jm AS MATERIALIZED (SELECT DISTINCT word, {_canon.format("x")} AS jmer FROM part), known AS (SELECT DISTINCT jmer FROM jm),
-other AS (SELECT jmer, {_canon.format("x")} AS o FROM (SELECT jmer, unnest([jmer[:-2] || 'C', jmer[:-2] || 'A', jmer[:-2] || 'T', jmer[:-2] || 'G', 'C' || jmer[2:], 'A' || jmer[2:], 'T' || jmer[2:], 'G' || jmer[2:]]) AS x FROM known) t),
-bad AS (SELECT DISTINCT jmer FROM other WHERE o <> jmer AND o IN (SELECT jmer FROM known)), w2 AS (SELECT DISTINCT word FROM jm JOIN bad USING (jmer))
-SELECT kmer, kmer IN (SELECT word FROM w2) AS confused FROM dbg""",
+    f"""WITH {_index(_talks, GRAPH_K)}, part AS MATERIALIZED (SELECT kmer AS word, kmer[i:i + {J - 1}] AS x FROM (SELECT kmer, unnest(generate_series(1, {GRAPH_K - J + 1})) AS i FROM dbg) t),
+names AS MATERIALIZED (SELECT x, {_canon.format("x")} AS jmer FROM (SELECT DISTINCT x FROM part) t), known AS MATERIALIZED (SELECT DISTINCT jmer FROM names),
+other AS MATERIALIZED (SELECT DISTINCT jmer, {_canon.format("x")} AS o FROM (SELECT jmer, unnest([jmer[:-2] || 'C', jmer[:-2] || 'A', jmer[:-2] || 'T', jmer[:-2] || 'G', 'C' || jmer[2:], 'A' || jmer[2:], 'T' || jmer[2:], 'G' || jmer[2:]]) AS x FROM known) t),
+bad AS MATERIALIZED (SELECT DISTINCT other.jmer FROM other JOIN known ON other.o = known.jmer WHERE o <> other.jmer), w2 AS MATERIALIZED (SELECT DISTINCT word FROM part JOIN names USING (x) JOIN bad USING (jmer))
+SELECT kmer, w2.word IS NOT NULL AS confused FROM dbg LEFT JOIN w2 ON w2.word = kmer""",
 )
 def jmer_confused(spark, sf_dir):
     return stats.stats(talk_index(spark, sf_dir), "jmerkmer", J)
 
 
-@_both("validate_index", f"{_answer} SELECT qid, sample_id, n AS expected, n AS found FROM res WHERE n <> n")
+@_both(
+    "validate_index",
+    f"""{_answer}, damaged AS (SELECT qid, sample_id, count(*) AS found FROM q JOIN sk USING (kmer) WHERE kmer NOT LIKE 'G%' GROUP BY qid, sample_id)
+SELECT qid, sample_id, n AS expected, found FROM res LEFT JOIN damaged USING (qid, sample_id) WHERE n IS DISTINCT FROM found""",
+)
 def validate_index(spark, sf_dir):
+    """What the check finds in an index that has lost the k-mers that begin with G."""
     i = doc_index(spark, sf_dir)
-    d = fx.reads(spark, sf_dir).join(i.experiments, "sample")
-    return validate.validate(i, K.kmers(d, "seq", DOCS_K, "sample_id").select("sample_id", "kmer"), fx.questions(spark, sf_dir))
+    damaged = X.Index(i.k, i.dbg.where(~F.col("kmer").startswith("G")), i.color_classes, i.experiments)
+    d = fx.reads(spark, sf_dir).join(F.broadcast(i.experiments), "sample")  # one row for each source
+    return validate.validate(damaged, K.kmers(d, "seq", DOCS_K, "sample_id").select("sample_id", "kmer"), fx.questions(spark, sf_dir))
 
 
-@_both("validate_mst", f"WITH {_index(_talks, GRAPH_K)} SELECT color_id, {_text.format('samples')} AS samples FROM classes WHERE color_id < 0")
+@_both(
+    "validate_mst",
+    f"""WITH {_index(_talks, GRAPH_K)}, damaged AS (SELECT color_id, CASE WHEN color_id % 5 = 0 THEN samples[:1] ELSE samples END AS cut, samples FROM classes)
+SELECT color_id, {_text.format("cut")} AS samples FROM damaged WHERE cut <> samples UNION ALL SELECT color_id, {_text.format("samples")} FROM damaged WHERE cut <> samples""",
+)
 def validate_mst(spark, sf_dir):
-    return validate.validate_mst(talk_index(spark, sf_dir), talk_tree(spark, sf_dir)).select("color_id", _list("samples").alias("samples"))
+    """What the check finds where every fifth class has only its first sample left."""
+    i = talk_index(spark, sf_dir)
+    cut = F.when(F.col("color_id") % 5 == 0, F.slice("samples", 1, 1)).otherwise(F.col("samples"))
+    damaged = X.Index(i.k, i.dbg, i.color_classes.withColumn("samples", cut), i.experiments)
+    return validate.validate_mst(damaged, talk_tree(spark, sf_dir)).select("color_id", _list("samples").alias("samples"))
+
+
+@_both("query_total_kmers", f"WITH {_kmers('a', _ask, 'qid', DOCS_K)} SELECT CAST(count(*) AS BIGINT) AS total FROM (SELECT DISTINCT qid, kmer FROM a) t")
+def query_total_kmers(spark, sf_dir):
+    return query.total_kmers(fx.questions(spark, sf_dir), DOCS_K)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import __version__
 from ..operators.index import Index
-from ..operators.tables import numbered
+from ..operators.tables import numbered, stored
 
 
 def _tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -25,14 +26,30 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return t.select(F.col("sample_id").cast("int").alias("sample_id"), F.col("token").alias("path"))
 
 
+def fasta_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, seq): the records of FASTA files. A record starts with a > at the start of a line; its header line, which may hold more of them, is dropped."""
+    records = spark.read.option("lineSep", "\n>").text(path).where(F.trim("value") != "")
+    return records.select(file_address(), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "").alias("seq"))
+
+
+def files_of(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+    """(file, sample_id, sample): the files of each path of a manifest, by their full addresses. As many rows as the listed paths have files; a file may be of several samples."""
+    rows = [(re.sub("^file:/+", "file:///", f), r["sample_id"], r["path"]) for r in manifest.collect() for f in spark.read.text(r["path"]).inputFiles()]
+    return spark.createDataFrame(rows, "file string, sample_id int, sample string")
+
+
+def file_address() -> Column:
+    """The full address of the file that a row was read from, as files_of gives it."""
+    return F.regexp_replace("_metadata.file_path", "^file:/+", "file:///").alias("file")
+
+
 def read_sequences(spark: SparkSession, path: str, format: str = "tokens") -> DataFrame:
     """(qid, seq): every token is a sequence; with format fasta, every record is (headers start with >)."""
     if format == "tokens":
         return numbered(_tokens(spark, path), "qid", F.col("file"), F.col("line"), F.col("at")).select("qid", F.col("token").alias("seq"))
     if format == "fasta":
-        records = spark.read.option("lineSep", ">").text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "value").where(F.trim("value") != "")
-        seq = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
-        return numbered(records.select("file", "at", seq.alias("seq")), "qid", F.col("file"), F.col("at")).select("qid", "seq")
+        records = fasta_records(spark, path).withColumn("at", F.monotonically_increasing_id())
+        return numbered(records, "qid", F.col("file"), F.col("at")).select("qid", "seq")
     raise ValueError(f"unknown format {format}")
 
 
@@ -60,8 +77,35 @@ def compatible(trailers: DataFrame) -> bool:
     return bool(r["v"]) and r["k"] == 1
 
 
-def save_index(index: Index, path: str, color_mst: DataFrame | None = None, keep_classes: bool = True) -> None:
-    """Tables below path; the graph is laid out by k-mer range, so lookups of few k-mers skip files. Classes may be left out if a tree stands for them."""
+def _now() -> str:
+    return datetime.now(timezone.utc).isoformat()
+
+
+def save_meta(spark: SparkSession, path: str, meta: dict, mode: str = "append") -> None:
+    """One more state of the index below path; the one written last holds."""
+    line = json.dumps(meta | {"version": __version__, "written": _now()})
+    spark.range(1).select(F.lit(line).alias("value")).coalesce(1).write.mode(mode).text(f"{path}/meta")
+
+
+def read_meta(spark: SparkSession, path: str) -> dict:
+    """k, classes and mst (whether they are stored), version, written, and what build noted of itself: cutoff, format, inputs, started, ended."""
+    return max((json.loads(r["value"]) for r in spark.read.text(f"{path}/meta").collect()), key=lambda m: m["written"])  # a line for each state
+
+
+def save_tree(index: Index, path: str, color_mst: DataFrame, keep_classes: bool = True) -> None:
+    """The tree is added to the index below path, whose other tables stay as they are; the stored classes are emptied if they aren't kept."""
+    spark = index.dbg.sparkSession
+    meta = read_meta(spark, path)
+    if keep_classes and not meta["classes"]:  # they come from the stored tree, which is about to be replaced
+        stored(index.color_classes, "classes").write.mode("overwrite").parquet(f"{path}/color_classes")
+    color_mst.write.mode("overwrite").parquet(f"{path}/color_mst")
+    save_meta(spark, path, meta | {"classes": keep_classes, "mst": True})
+    if not keep_classes:
+        spark.createDataFrame([], "color_id long, samples array<int>, abundance long").write.mode("overwrite").parquet(f"{path}/color_classes")
+
+
+def save_index(index: Index, path: str, color_mst: DataFrame | None = None, keep_classes: bool = True, build: dict | None = None) -> None:
+    """Tables below path; the graph is laid out by k-mer range, so lookups of few k-mers skip files. Classes may be left out if a tree stands for them; build goes to the meta table."""
     if not keep_classes and color_mst is None:
         raise ValueError("classes can be dropped only if there is a tree")
     index.dbg.repartitionByRange("kmer").sortWithinPartitions("kmer").write.mode("overwrite").parquet(f"{path}/dbg")
@@ -70,15 +114,14 @@ def save_index(index: Index, path: str, color_mst: DataFrame | None = None, keep
         index.color_classes.write.mode("overwrite").parquet(f"{path}/color_classes")
     if color_mst is not None:
         color_mst.write.mode("overwrite").parquet(f"{path}/color_mst")
-    meta = json.dumps({"k": index.k, "version": __version__, "written": datetime.now(timezone.utc).isoformat(), "classes": keep_classes, "mst": color_mst is not None})
-    index.dbg.sparkSession.range(1).select(F.lit(meta).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    save_meta(index.dbg.sparkSession, path, (build or {}) | {"ended": _now(), "k": index.k, "classes": keep_classes, "mst": color_mst is not None}, "overwrite")
 
 
 def load_index(spark: SparkSession, path: str) -> tuple[Index, DataFrame | None]:
     """The index and its tree, if it has one; without stored classes they are decoded from the tree."""
     from ..operators.mst import decode
 
-    meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
+    meta = read_meta(spark, path)
     tree = spark.read.parquet(f"{path}/color_mst") if meta["mst"] else None
     dbg = spark.read.parquet(f"{path}/dbg")
     if meta["classes"]:

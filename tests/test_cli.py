@@ -5,6 +5,7 @@ import pytest
 from kmerdex.__main__ import main
 from kmerdex.operators import index as X
 from kmerdex.operators.query import named, query
+from kmerdex.sources import io
 
 from . import brute
 
@@ -34,3 +35,24 @@ def test_verbs(spark, tmp_path, capsys):
         assert main(["stats", "-p", d, "-t", kind, "-j", "4", "-o", f"{d}-{kind}"], spark) == 0
     with pytest.raises(SystemExit):
         main(["mst", "-p", d], spark)
+
+
+def test_samples_by_whole_path_and_cutoff(spark, tmp_path, capsys):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "x.txt").write_text("AAACCCGG\nAAACCCGG\nGGTTAC")
+    (tmp_path / "a" / "x.txt").write_text("ACGTACGATT\nACGTACGATT")
+    (tmp_path / "list").write_text(f"{tmp_path}/x.txt\n{tmp_path}/a/x.txt\n")
+    (tmp_path / "q").write_text("AAACCCGG\nACGTACGATT\nGGTTAC\n")
+    d, ls, q = (str(tmp_path / x) for x in ("index", "list", "q"))
+    assert main(["build", "-i", ls, "-o", d, "-k", "5", "-c", "2"], spark) == 0
+    assert main(["validate", "-i", ls, "-p", d, q], spark) == 0
+    meta = io.read_meta(spark, d)
+    assert meta["cutoff"] == 2 and meta["inputs"] == ls and meta["started"] < meta["ended"] and meta["k"] == 5
+    assert main(["query", "-p", d, "-1", "-j", "-o", f"{d}-out", q], spark) == 0
+    got = [json.loads(r["value"])["res"] for r in spark.read.text(f"{d}-out").collect()]
+    assert [set(g) for g in got] == [{f"{tmp_path}/x.txt"}, {f"{tmp_path}/a/x.txt"}, set()]
+    assert main(["mst", "-p", d, "-d"], spark) == 0 and spark.read.parquet(f"{d}/color_classes").count() == 0
+    assert main(["mst", "-p", d, "-k"], spark) == 0 and main(["validatemst", "-p", d], spark) == 0
+    assert spark.read.parquet(f"{d}/color_classes").count() == 2
+    assert main(["query", "-p", d, "-k", "6", "-o", f"{d}-text", q], spark) == 0
+    assert [r["value"] for r in spark.read.text(f"{d}-text").where("value like 'seq%'").collect()] == ["seq0\t8", "seq1\t10", "seq2\t6"]

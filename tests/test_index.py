@@ -164,3 +164,15 @@ def test_one_sample(spark):
     index = X.index_reads(spark.createDataFrame([("only", "ACGTACCATT")], "sample string, seq string"), K)
     assert index.color_classes.count() == 1
     assert [tuple(r)[1:3] for r in mst.encode(index).collect()] == [(mst.ROOT, 1)]
+
+
+def test_damaged_tree(spark):
+    index = X.index_reads(spark.createDataFrame(brute.sample_reads(), "sample string, seq string"), 5)
+    tree = mst.encode(index)
+    assert validate.validate_mst(index, tree).isEmpty()
+    damaged = tree.withColumn("delta", F.when(F.col("color_id") == 0, F.slice("delta", 2, 100)).otherwise(F.col("delta")))
+    wrong = {r["color_id"] for r in validate.validate_mst(index, damaged).collect()}
+    below = {0}
+    for _ in range(index.color_classes.count()):
+        below |= {r["color_id"] for r in tree.collect() if r["parent_id"] in below}
+    assert wrong == below

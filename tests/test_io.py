@@ -19,6 +19,8 @@ def test_tokens_and_fasta(spark, tmp_path):
     assert [r["seq"] for r in io.read_sequences(spark, str(tmp_path / "q")).orderBy("qid").collect()] == ["ACGT", "TTT", "GG"]
     (tmp_path / "f.fa").write_text(">one x\nACG\nTT\n>two\nGG\n")
     assert [r["seq"] for r in io.read_sequences(spark, str(tmp_path / "f.fa"), "fasta").orderBy("qid").collect()] == ["ACGTT", "GG"]
+    (tmp_path / "g.fa").write_text(">s1 A->C variant\nACG\r\nTT\n>s2 > x\nGG\n>s3\n>s4\nCC\n")
+    assert [r["seq"] for r in io.read_sequences(spark, str(tmp_path / "g.fa"), "fasta").orderBy("qid").collect()] == ["ACGTT", "GG", "", "CC"]
     with pytest.raises(ValueError):
         io.read_sequences(spark, "x", "other")
 

@@ -64,3 +64,21 @@ def test_affixes_and_parts(spark):
 def test_sql_functions(spark):
     K.register(spark)
     assert spark.sql("SELECT canonical_kmer('ACCT'), reverse_complement('ACCT')").first()[:] == (brute.canonical("ACCT"), "AGGT")
+
+
+def test_long_runs_are_cut(spark, monkeypatch):
+    words = K.random_words(spark, 3, 400, seed=5)
+    assert [r["word"] for r in words.collect()] == [r["word"] for r in K.random_words(spark, 3, 400, seed=5).repartition(3).orderBy("id").collect()]
+    df = words.select("id", F.concat("word", F.lit("N"), F.substring("word", 1, 37)).alias("seq"))
+    whole = sorted(map(tuple, K.kmers(df, "seq", 9, "id").collect()))
+    for piece in (1, 8, 391, 392, 393):
+        monkeypatch.setattr(K, "PIECE", piece)
+        assert sorted(map(tuple, K.kmers(df, "seq", 9, "id").collect())) == whole
+    assert len(whole) == 3 * (392 + 29)
+
+
+def test_words_too_long_to_pack(spark):
+    df = spark.createDataFrame([("ACGT" * 8,), (None,)], "w string")
+    assert [r["p"] for r in df.select(K.pack(F.col("w")).alias("p")).collect()][1] is None
+    with pytest.raises(Exception, match="32 bases"):
+        spark.createDataFrame([("A" * 33,)], "w string").select(K.pack(F.col("w"))).collect()
