@@ -1,7 +1,8 @@
 """URL filter: host and path rules first, then naive Bayes over segmented names.
 
 Names in hosts and paths are split into words by unigram Viterbi, under the shares that separately written
-words have in all urls. A multinomial naive Bayes model over host and path words, learned from the urls
+words have in all urls. The words, all of them, stay a table: a name's parts are joined to it, so no vocabulary is sent to
+the executors and none is cut. A multinomial naive Bayes model over host and path words, learned from the urls
 that hold seed words (blocked) against all others, decides where no rule does. Pages are first grouped
 by host and by path with its numbers masked, so each distinct name is split once and hot hosts are counted
 before anything is shuffled.
@@ -23,8 +24,8 @@ from . import shared
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 #: Words whose presence makes a url an example of what to block.
 SEEDS = ("adult", "porn", "sex", "xxx", "casino", "poker", "bets", "bet", "gambling", "pills", "viagra", "pharma", "spam", "scam", "malware", "phishing", "warez", "torrent", "ads", "track", "tracker", "clickbait")
-#: Least share of all words for a word to be known to the segmentation; at most 1 / FLOOR words can have it.
-FLOOR = 1e-6
+#: Letters of the longest word that the segmentation knows.
+LONGEST = 40
 
 
 def address(url: Column) -> tuple[Column, Column]:
@@ -46,38 +47,27 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def pieces(host: str, path: str) -> list[tuple[str, str]]:
-    """(kind, name) for the separate names of a host, but for its last label, and of a path whose numbers are masked."""
-    names = [("h", x) for label in host.split(".")[:-1] for x in re.split(r"[^\w]+|[\d_]+", label) if x]
-    return names + [("p", x) for x in re.split(r"[^\w#]+|_+", path.lower()) if x]
+def pieces(host: str, path: str) -> list[tuple[str, str, bool]]:
+    """(kind, name, apart) for the names of a host, but for its last label, and of a path whose numbers are masked.
 
-
-def apart(host: str, path: str) -> list[str]:
-    """Names that are written apart from others: parts of labels with more than one, and of the path. A label of one part may itself be several words."""
+    Names are apart from others in a path and in a label with several; a label of one name may itself be several words.
+    """
     labels = [[x for x in re.split(r"[^\w]+|[\d_]+", label) if x] for label in host.split(".")[:-1]]
-    return [x for names in labels if len(names) > 1 for x in names] + [x for kind, x in pieces("", path)]
+    return [("h", x, len(names) > 1) for names in labels for x in names] + [("p", x, True) for x in re.split(r"[^\w#]+|_+", path.lower()) if x]
 
 
 class Segmenter:
     """Most probable split of a name into words."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 10
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        """counts of words, at least of all those that a name to be split holds; total: of all words there are."""
+        total = (sum(counts.values()) if total is None else total) + 10
         self.cost = {w: math.log(total / n) for w, n in counts.items() if n > 0}
         self.longest = max(map(len, self.cost), default=0)
         self.start, self.step = math.log(total / 10), math.log(10)
-        self.done: dict[str, list[str]] = {}
 
     def split(self, name: str) -> list[str]:
         """Unknown stretches cost more with each character, so known words win where they fit."""
-        have = self.done.get(name)
-        if have is None:
-            if len(self.done) > 200_000:
-                self.done.clear()
-            have = self.done[name] = self._split(name)
-        return have
-
-    def _split(self, name: str) -> list[str]:
         best, back = [0.0] * (len(name) + 1), [0] * (len(name) + 1)
         open_, since = math.inf, 0  # cheapest unknown stretch that ends here
         for i in range(1, len(name) + 1):
@@ -97,51 +87,66 @@ class Segmenter:
         return out[::-1]
 
 
-def judged(pages: DataFrame, rules=RULES, seeds=SEEDS, page_id: str = "page_id", url: str = "url", floor: float = FLOOR) -> DataFrame:
+def segmented(parts: DataFrame, seeds, longest: int = LONGEST) -> DataFrame:
+    """(name, words) for the distinct names of parts (name, apart, n), split under the counts of names that stand apart; seeds count once at least."""
+    spark = parts.sparkSession
+    apart = parts.where(F.col("apart") & (F.char_length("name") <= longest)).select(F.col("name").alias("word"), "n")
+    some = spark.createDataFrame([(s, 0) for s in seeds], "word string, n long")
+    known = shared.written(apart.unionByName(some).groupBy("word").agg(F.greatest(F.sum("n"), F.lit(1)).alias("n")), "words")
+    total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    names = parts.select("name").distinct()
+    size = F.char_length("name")
+    inside = F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), size - i + 1)), lambda k: F.substring(F.col("name"), i, k)))
+    held = names.select("name", F.explode(F.array_distinct(F.flatten(inside))).alias("word")).join(known, "word")
+    held = held.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("held"))
+
+    def split(batches):
+        for b in batches:
+            got = [Segmenter(dict(h or ()), total).split(name) for name, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.string()))], ["name", "words"])
+
+    return names.join(held, "name", "left").mapInArrow(split, "name string, words array<string>")
+
+
+def judged(pages: DataFrame, rules=RULES, seeds=SEEDS, page_id: str = "page_id", url: str = "url", longest: int = LONGEST) -> DataFrame:
     """(page_id, host, path, rule, verdict, odds): odds are the model's log odds for blocking.
 
     Null urls and those without :// have an empty host and path, no rule, and the verdict of the model's prior.
-    Repeated rows stay; a null page_id is kept; other columns are ignored. Ties in the odds allow.
+    Repeated rows stay; a null page_id is kept; other columns are ignored; an empty table gives an empty one. Ties in the odds allow.
+    Urls of any length are read whole; words of more than longest letters are unknown to the segmentation, at any size of the table.
     """
+    shared.tune(pages.sparkSession)
     host, path = address(F.col(url))
     p = pages.select(F.col(page_id).alias("page_id"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
     p = p.withColumn("form", F.regexp_replace("path", "[0-9]+", "#"))
-    forms = shared.written(p.groupBy("host", "form").agg(F.count("*").alias("n")), "forms")
+    forms = p.groupBy("host", "form").agg(F.count("*").alias("n"))
 
     def named(batches):
         for b in batches:
-            host, form, n = (c.to_pylist() for c in b.columns)
-            rows = [(x, k) for h, f, k in zip(host, form, n) for x in apart(h, f)]
-            yield pa.RecordBatch.from_pydict({"word": pa.array([x for x, _ in rows], pa.string()), "n": pa.array([k for _, k in rows], pa.int64())})
-
-    words = shared.written(forms.mapInArrow(named, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    total = words.agg(F.sum("n")).first()[0] or 0
-    known = {r["word"]: r["n"] for r in words.where(F.col("n") >= max(1.0, floor * total)).toArrow().to_pylist()}
-    for s in seeds:
-        known.setdefault(s, 1)
-    sent = forms.sparkSession.sparkContext.broadcast(known)
-
-    def split(batches):
-        seg = Segmenter(sent.value)
-        for b in batches:
-            got = [[f"{kind}:{w}" for kind, x in pieces(h, f) for w in seg.split(x)] for h, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.list_(pa.string()))], ["host", "form", "n", "tokens"])
-
-    tokens = forms.mapInArrow(split, "host string, form string, n long, tokens array<string>")
-    bad = F.array(*[F.lit(f"{k}:{s}") for s in seeds for k in "hp"])
-    tokens = shared.written(tokens.withColumn("bad", F.arrays_overlap("tokens", bad)), "tokens")
-    by = tokens.select("n", "bad", F.explode("tokens").alias("token")).groupBy("token").agg(
-        F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("a")
-    )
+            rows = [(h, f, n, *x) for h, f, n in zip(*(c.to_pylist() for c in b.columns)) for x in pieces(h, f)]
+            columns = list(zip(*rows)) or [()] * 6
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "form", "n", "kind", "name", "apart"])
+
+    forms = shared.written(forms, "forms")
+    parts = shared.written(forms.mapInArrow(named, "host string, form string, n long, kind string, name string, apart boolean"), "parts")
+    split = shared.written(segmented(parts, seeds, longest), "split")
+    bad = F.arrays_overlap("words", F.array(*[F.lit(s) for s in seeds]).cast("array<string>"))
+    seeded = parts.join(split.where(bad).select("name"), "name", "left_semi").select("host", "form").distinct().withColumn("bad", F.lit(True))
+    marked = shared.written(forms.join(seeded, ["host", "form"], "left").select("host", "form", "n", F.coalesce("bad", F.lit(False)).alias("bad")), "marked")
+    # counts go by name before words, and by word before anything is joined
+    of = parts.join(marked.select("host", "form", "bad"), ["host", "form"]).groupBy("kind", "name").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("a"))
+    by = of.join(split, "name").select("kind", F.explode("words").alias("word"), "b", "a").groupBy("kind", "word").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
     by = shared.written(by, "token-counts")
     s = by.agg(F.sum("b"), F.sum("a"), F.count("*")).first()
-    d = tokens.agg(F.sum(F.when(F.col("bad"), F.col("n"))), F.sum("n")).first()
+    d = marked.agg(F.sum(F.when(F.col("bad"), F.col("n"))), F.sum("n")).first()
     n_bad, n_all = d[0] or 0, d[1] or 0
     prior = math.log((n_bad + 1) / (n_all - n_bad + 1))
     size_b, size_a = (s[0] or 0) + s[2], (s[1] or 0) + s[2]
-    weight = by.select("token", (F.log((F.col("b") + 1.0) / float(max(size_b, 1))) - F.log((F.col("a") + 1.0) / float(max(size_a, 1)))).alias("w"))
-    each = tokens.select("host", "form", F.explode("tokens").alias("token")).join(weight, "token")
-    odds = each.groupBy("host", "form").agg(F.sum("w").alias("w"))
+    weight = by.select("kind", "word", (F.log((F.col("b") + 1.0) / float(max(size_b, 1))) - F.log((F.col("a") + 1.0) / float(max(size_a, 1)))).alias("w"))
+    each = parts.select("kind", "name").distinct().join(split, "name").select("kind", "name", F.explode("words").alias("word"))
+    each = each.join(weight, ["kind", "word"]).groupBy("kind", "name").agg(F.sum("w").alias("w"))
+    odds = parts.join(each, ["kind", "name"]).groupBy("host", "form").agg(F.sum("w").alias("w"))
     rule, decided = ruled(F.col("host"), F.col("path"), rules)
     out = p.join(odds, ["host", "form"], "left").withColumn("odds", F.coalesce("w", F.lit(0.0)) + prior)
     verdict = F.coalesce(decided, F.when(F.col("odds") > 1e-9, "block").otherwise("allow"))
@@ -149,4 +154,5 @@ def judged(pages: DataFrame, rules=RULES, seeds=SEEDS, page_id: str = "page_id",
 
 
 def op10_url_filter(spark, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of each page; a null url has an empty host and path and the verdict of the prior."""
     return judged(shared.read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")

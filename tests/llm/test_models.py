@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -181,6 +182,20 @@ def test_urls(spark):
     by = {urls[r["page_id"] or 0]: r["verdict"] for r in got}
     assert by["http://cheappills.example.org/fr/1"] == by["http://cheap-pills.example.org/fr/2"] == "block" and by["http://name3.example.org/fr/3"] == "allow"
     assert url_filter.judged(pages.limit(0)).count() == 0
+    # every odds, by a model made here
+    forms = [(h, re.sub("[0-9]+", "#", q)) for h, q in (address(urls[i or 0]) for i, _ in rows)]
+    known = Counter(x for h, f in forms for _, x, apart in url_filter.pieces(h, f) if apart)
+    seg = url_filter.Segmenter({**dict.fromkeys(url_filter.SEEDS, 1), **known})
+    tokens = [[(kind, w) for kind, x, _ in url_filter.pieces(h, f) for w in seg.split(x)] for h, f in forms]
+    bad = [any(w in url_filter.SEEDS for _, w in x) for x in tokens]
+    counts = [Counter(w for x, y in zip(tokens, bad) if y == side for w in x) for side in (True, False)]
+    vocabulary = set(counts[0]) | set(counts[1])
+    total = [sum(c.values()) + len(vocabulary) for c in counts]
+    odds = {}
+    for form, x in zip(forms, tokens):
+        odds[form] = math.log((sum(bad) + 1) / (len(bad) - sum(bad) + 1)) + sum(math.log((counts[0][w] + 1) / total[0]) - math.log((counts[1][w] + 1) / total[1]) for w in x)
+    for r in got:
+        assert abs(r["odds"] - odds[r["host"], re.sub("[0-9]+", "#", r["path"])]) < 1e-9
 
 
 def test_segmentation():
