@@ -51,7 +51,7 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str | No
 
     Every row is kept, repeated ones too; all other columns pass through, but one of the name out is
     replaced. A text in which two chunks find no common boundary (one pre-token longer than the overlap)
-    is encoded in one piece. The vocabulary (under a megabyte, whatever the data) is broadcast.
+    is encoded in one piece. An empty table gives an empty one. The vocabulary (under a megabyte, whatever the data) is broadcast.
     """
     spark = docs.sparkSession
     shared.tune(spark)
@@ -132,6 +132,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each document and the bytes that they decode to, as hashes; a null text is an empty one."""
     docs = shared.read(spark, sf_dir, "documents").select("doc_id", "text")
     coded = encode(docs).select("doc_id", "ids")
     return decode(coded).select(

@@ -109,6 +109,7 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """Words of each document that lie in windows of benchmark items; a document given in several equal rows counts as one, a null text has no words."""
     found = contamination(shared.read(spark, sf_dir, "documents"), shared.read(spark, sf_dir, "benchmark"))
     hit = covered(F.col("spans"))
     return found.select(

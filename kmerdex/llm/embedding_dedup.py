@@ -118,7 +118,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "v
     """(vec_id, n_links, component_id, kept) for every row of vectors.
 
     Vectors that are null, empty or zero, or hold a null or a number that isn't finite, link with nothing.
-    Vectors of different sizes do not link. Ids are long numbers without nulls; repeated rows stay and count as vectors of their own,
+    Vectors of different sizes do not link. Ids are long numbers; a row with a null id links with nothing, has a null component and is not kept. Repeated rows stay and count as vectors of their own,
     so that a vector and its copy link. Other columns are ignored. An empty table gives an empty one.
     """
     spark = vectors.sparkSession
@@ -127,7 +127,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "v
     v = F.col("v")
     fine = F.coalesce(F.size(v) > 0, F.lit(False)) & ~F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists(v, lambda e: e != 0)
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    rows = rows.select("id", F.when(F.coalesce(fine, F.lit(False)), v).alias("v"))
+    rows = rows.select("id", F.when(F.coalesce(fine, F.lit(False)) & F.col("id").isNotNull(), v).alias("v"))
     own = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     own = shared.written(own.select("rep", "n", "v"), "vectors")
 
@@ -183,10 +183,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "v
     rep = own.select("v", "rep", "n").join(links, F.col("rep") == F.col("a"), "left").join(comp, F.col("rep") == F.col("node"), "left")
     rep = rep.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(rep, "v", "left").select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op5_embedding_dedup(spark, sf_dir: str) -> DataFrame:
+    """Links and component of each vector; a null or zero vector, or one that isn't finite, is a component of its own."""
     return near_duplicates(shared.read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 

@@ -93,9 +93,10 @@ def sampled(labels: DataFrame, label: str, fit: Column, rows: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, fit: Column, rows: int = LABELLED_ROWS, places: int = PLACES, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights; the last one is the bias. All are zero where no row is labelled.
+    """Weights; the last one is the bias. All are zero where no row is labelled, and in an empty table.
 
-    The sample has a bound, so its ids may be broadcast and its features gathered by the driver.
+    The sample has a bound, so its ids may be broadcast and its features gathered by the driver. Of labels repeated for an id the largest
+    holds; rows repeated under an id are learned from each; null texts have no features; ids are long numbers, and null ids are not learned from.
     """
     chosen = docs.select("doc_id", "text").join(F.broadcast(sampled(labels, label, fit, rows)), "doc_id").select("text", "label", "doc_id")
 
@@ -120,7 +121,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str, fit: Column, rows: int
 
 
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text", out: str = "score") -> DataFrame:
-    """docs with a double column out from 0 to 1; null and empty texts get the bias alone. A column of that name is replaced."""
+    """docs with a double column out from 0 to 1; null and empty texts get the bias alone. A column of that name is replaced.
+
+    Rows are kept, repeated ones too, with all other columns; texts of any length are scored whole; an empty table gives an empty one.
+    """
     shared.tune(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(weights)  # of fixed size
 
@@ -142,6 +146,7 @@ def remainder(by: int) -> Column:
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
+    """Score of each document for quality; a null or empty text gets the bias alone."""
     shared.tune(spark)
     docs = shared.read(spark, sf_dir, "documents").select("doc_id", "text")
     weights = train(docs, shared.read(spark, sf_dir, "labels"), "quality", remainder(3) != 1)

@@ -374,6 +374,7 @@ def distinct(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each document; null and empty texts have the fingerprint zero and link with each other."""
     docs = shared.read(spark, sf_dir, "documents").select("doc_id", "text")
     fps = shared.written(fingerprints(docs).select("doc_id", "fp"), "fingerprints")
     return classes(fps).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -197,7 +197,10 @@ def train(docs: DataFrame, labels: DataFrame, decoder: Decoder, fit: Column, row
 
 
 def score(docs: DataFrame, decoder: Decoder, weights: dict[str, float], text: str = "text", out: str = "score") -> DataFrame:
-    """docs with a double column out from 0 to 1; null and empty texts get the bias alone. A column of that name is replaced."""
+    """docs with a double column out from 0 to 1; null and empty texts get the bias alone. A column of that name is replaced.
+
+    Rows are kept, repeated ones too, with all other columns; texts of any length are read whole; an empty table gives an empty one.
+    """
     sent = docs.sparkSession.sparkContext.broadcast((decoder, weights))  # a table of fixed size, and what a bounded sample taught
 
     def make():
@@ -237,6 +240,7 @@ def restore(docs: DataFrame, decoder: Decoder, text: str = "text", out: str = "r
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Score of each document for toxicity; a null or empty text gets the bias alone."""
     shared.tune(spark)
     docs = shared.read(spark, sf_dir, "documents").select("doc_id", "text")
     decoder = Decoder(character_counts(docs, "text"))

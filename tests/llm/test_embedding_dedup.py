@@ -48,3 +48,12 @@ def test_repeated_rows_and_empty(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, E.near_duplicates(df).collect())) == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)]
     assert E.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_null_ids_link_with_nothing(spark):
+    v = [1.0, 2.0, 3.0, 4.0]
+    df = spark.createDataFrame([(None, v), (None, v), (3, v), (2, v), (None, None), (5, [0.0] * 4)], "vec_id long, embedding array<float>")
+    got = sorted(map(str, map(tuple, E.near_duplicates(df).collect())))
+    assert got == sorted(map(str, [(None, 0, None, False)] * 3 + [(3, 1, 2, False), (2, 1, 2, True), (5, 0, 5, True)]))
+    nulls = df.where("vec_id is null")
+    assert E.near_duplicates(nulls).count() == 3

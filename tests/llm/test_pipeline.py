@@ -49,3 +49,32 @@ def test_stages(spark, tmp_path):
     empty = docs.limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, empty, d).count() == 0
+
+
+def test_stages_with_nulls_repeats_and_clashing_names(spark, tmp_path):
+    docs = data.documents(spark)
+    d = str(tmp_path)
+    docs.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(None, None), (1, ""), (None, "no such words here")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    stages = dict(P.STAGES)
+    now = shared.written(stages["quality"](spark, docs, d), "quality")
+    assert now.columns == docs.columns and sorted(map(str, now.collect())) == sorted(map(str, docs.collect()))  # no labels: nothing is known against a text
+    left = shared.written(stages["near_dedup"](spark, now, d), "near")
+    rows = left.collect()
+    assert left.columns == docs.columns and [r for r in rows if r["doc_id"] is None]
+    by = {}
+    for r in rows:
+        if r["doc_id"] is not None:
+            by.setdefault(r["text"] or "", set()).add(r["doc_id"])
+    least = {}
+    for r in docs.collect():
+        if r["doc_id"] is not None:
+            least[r["text"] or ""] = min(r["doc_id"], least.get(r["text"] or "", r["doc_id"]))
+    assert all(ids == {least[t]} for t, ids in by.items()) and set(by) <= set(least)
+    cut = shared.written(stages["substring_dedup"](spark, left, d), "cut")
+    assert cut.columns == docs.columns and cut.count() == len(rows)
+    clean = shared.written(stages["decontamination"](spark, cut, d), "clean")
+    assert sorted(map(str, clean.collect())) == sorted(map(str, cut.collect()))
+    coded = {(r["doc_id"], r["text"]) for r in stages["encoding"](spark, clean, d).collect()}
+    assert coded == {(r["doc_id"], r["text"] or "") for r in clean.collect()}
