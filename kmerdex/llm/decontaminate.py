@@ -19,8 +19,8 @@ from . import shared
 #: Bytes that separate words: all of ASCII but digits and lower-case letters (A-Z are lower-cased first).
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Windows that are sent to every executor; beyond it the tables are joined by a shuffle.
-BROADCAST_WINDOWS = 200_000
+#: Rows and bytes of windows that are sent to every executor; beyond either the tables are joined by a shuffle.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 200_000, 32 << 20
 #: Stands behind the last word of each document; no word holds a space.
 LAST = " "
 
@@ -39,22 +39,28 @@ def item_windows(items: DataFrame, item_id: str, text: str, window: int) -> Data
     return w.select("item", "w", F.explode(starts).alias("i")).select("item", F.slice("w", F.col("i"), window).alias("win")).distinct()
 
 
+def fitting(df: DataFrame, win: str = "win"):
+    """broadcast if the rows of windows in df are few and short, else nothing."""
+    n, size = df.agg(F.count("*"), F.sum(F.aggregate(win, F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 16))).first()
+    return F.broadcast if n <= BROADCAST_WINDOWS and (size or 0) <= BROADCAST_BYTES else None
+
+
 def contamination(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW
 ) -> DataFrame:
-    """One row for each distinct (id, text) of docs: doc_id, text_key, n_words, spans, items.
+    """One row for each distinct (id, text) of docs: doc_id, text_key, n_words, copies, spans, items.
 
     spans are the occurrences as structs (start, n) of word positions from 0, items the sorted ids (as
     strings) of the items found. Null texts and empty ones have no words; an item with a null id counts
-    under the empty id; a null doc_id is kept as an id of its own; repeated rows give one row; other
-    columns of docs and items are ignored, whatever their names; empty tables give no rows or no hits.
+    under the empty id; a null doc_id is kept as an id of its own; repeated rows give one row, which has their
+    number as copies; other columns of docs and items are ignored, whatever their names; empty tables give no rows or no hits.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), words(F.col(text)).alias("w"))
     found = shared.written(item_windows(items, item_id, item_text, window), "windows")
     wins = found.select("win").distinct()
-    small = wins.count() <= BROADCAST_WINDOWS
-    fit = F.broadcast if small else (lambda x: x)
+    small = fitting(wins)
+    fit = small or (lambda x: x)
 
     # rarity of the items' words over all documents
     vocabulary = wins.select(F.explode("win").alias("word")).distinct()
@@ -62,32 +68,36 @@ def contamination(
     tokens = wins.select("win", F.posexplode("win").alias("at", "word")).join(count, "word", "left")
     # a word that no document has is the rarest of all: its windows can't occur
     rarest = tokens.groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at")).alias("t"))
-    anchors = rarest.where("t.n > 0").select(F.col("t.word").alias("word"), F.col("t.at").alias("at"), "win")
-    end = spark.range(1).select(F.lit(LAST).alias("word"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("array<string>").alias("win"))
-    anchors = shared.written(anchors.unionByName(end), "anchors")
+    anchors = shared.written(rarest.where("t.n > 0").select(F.col("t.word").alias("word"), F.col("t.at").alias("at"), "win"), "anchors")
 
-    last = F.array(F.lit(LAST))
+    # each row of docs also gives one row without a window, by which it is kept and counted
     start = F.col("pos") - F.col("at")
     fits = F.col("win").isNull() | ((start >= 0) & (start + F.size("win") <= F.size("w")) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.size("win")) == F.col("win")))
     if small:
-        seen = d.select("doc_id", "text_key", "w", F.posexplode(F.concat("w", last)).alias("pos", "word")).join(F.broadcast(anchors), "word").where(fits)
+        end = spark.range(1).select(F.lit(LAST).alias("word"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("array<string>").alias("win"))
+        ended = d.select("doc_id", "text_key", "w", F.posexplode(F.concat("w", F.array(F.lit(LAST)))).alias("pos", "word"))
+        seen = ended.join(F.broadcast(anchors.unionByName(end)), "word").where(fits)
     else:
-        where = d.select("doc_id", "text_key", F.posexplode(F.concat("w", last)).alias("pos", "word")).join(anchors, "word")
-        where = where.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("pos", "at", "win")).alias("c"))
-        full = d.join(where.withColumnRenamed("doc_id", "id_").withColumnRenamed("text_key", "key_"), F.col("doc_id").eqNullSafe(F.col("id_")) & F.col("text_key").eqNullSafe(F.col("key_")))
-        seen = full.select("doc_id", "text_key", "w", F.inline("c")).where(fits)
+        # only words that some window's rarity names are shuffled back to their documents
+        where = d.select("doc_id", "text_key", F.posexplode("w").alias("pos", "word")).join(anchors, "word")
+        where = where.groupBy(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_")).agg(F.collect_set(F.struct("pos", "at", "win")).alias("c"))
+        full = d.join(where, F.col("doc_id").eqNullSafe(F.col("id_")) & F.col("text_key").eqNullSafe(F.col("key_")), "left")
+        none_ = F.array(F.struct(F.lit(None).cast("int").alias("pos"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("array<string>").alias("win")))
+        seen = full.select("doc_id", "text_key", "w", F.inline(F.concat(none_, F.coalesce("c", F.slice(none_, 1, 0))))).where(fits)
     seen = seen.select("doc_id", "text_key", F.size("w").alias("n_words"), start.alias("start"), "win")
     by = seen.groupBy("doc_id", "text_key").agg(
         F.max("n_words").alias("n_words"),
+        F.count_if(F.col("win").isNull()).alias("copies"),
         F.collect_set(F.when(F.col("win").isNotNull(), F.struct("start", F.size("win").alias("n")))).alias("spans"),
         F.collect_set("win").alias("wins"),
     )
     by = shared.written(by, "hits")
-    named = by.select("doc_id", "text_key", F.explode("wins").alias("win")).join(fit(found), "win")
+    few = (small and fitting(found)) or (lambda x: x)  # one window may be of any number of items
+    named = by.select("doc_id", "text_key", F.explode("wins").alias("win")).join(few(found), "win")
     named = named.groupBy(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_")).agg(F.sort_array(F.collect_set("item")).alias("items"))
     none = F.array().cast("array<string>")
     return by.join(named, F.col("doc_id").eqNullSafe(F.col("id_")) & F.col("text_key").eqNullSafe(F.col("key_")), "left").select(
-        "doc_id", "text_key", "n_words", F.sort_array("spans").alias("spans"), F.coalesce("items", none).alias("items")
+        "doc_id", "text_key", "n_words", "copies", F.sort_array("spans").alias("spans"), F.coalesce("items", none).alias("items")
     )
 
 
@@ -109,9 +119,10 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
-    """Words of each document that lie in windows of benchmark items; a document given in several equal rows counts as one, a null text has no words."""
+    """Words of each document that lie in windows of benchmark items; one row for each row of documents, also where they repeat. A null text has no words."""
     found = contamination(shared.read(spark, sf_dir, "documents"), shared.read(spark, sf_dir, "benchmark"))
     hit = covered(F.col("spans"))
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return found.select(
         "doc_id",
         F.col("n_words").cast("long").alias("n_words"),

@@ -44,12 +44,37 @@ def test_contamination(spark, monkeypatch):
         by_id = {i: x for i, x in enumerate(t)} | {None: t[8]}
         for r in got:
             assert (r["n_words"], r["hit"], r["items"]) == contaminated(by_id[r["doc_id"]], items, 10), r["doc_id"]
+        copies = {(r["doc_id"], r["text_key"]): r["copies"] for r in D.contamination(docs, table).collect()}
+        rows = docs.select("doc_id", F.xxhash64("text").alias("k")).groupBy("doc_id", "k").count().collect()
+        assert copies == {(r["doc_id"], r["k"]): r["count"] for r in rows} and max(copies.values()) > 1
     left = D.clean(docs, table)
     dirty = {i for i, x in by_id.items() if contaminated(x, items, 10)[1]}
     assert dirty and {r["doc_id"] for r in left.collect()} == set(by_id) - dirty and left.columns == docs.columns
     assert D.clean(docs, table.limit(0)).count() == docs.count() and D.contamination(docs.limit(0), table).count() == 0
 
 
+def test_one_row_for_each_document_row(spark, tmp_path):
+    t = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, t), (1, t), (1, t), (2, "x " + t), (None, None), (None, None), (3, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    # one window that very many items have is looked up in a table that is not sent around
+    items = [(str(i), t) for i in range(300)]
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = D.op9_decontaminate(spark, str(tmp_path)).select("doc_id", "n_words", "n_hit", "n_items", "contaminated").collect()
+    want = [(1, 11, 11, 300, True)] * 3 + [(2, 12, 11, 300, True), (3, 0, 0, 0, False)] + [(None, 0, 0, 0, False)] * 2
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_what_is_sent_around_is_bounded(spark, monkeypatch):
+    w = spark.createDataFrame([(["a" * 100] * 10,)] * 5, "win array<string>")
+    assert D.fitting(w) is F.broadcast and D.fitting(w.limit(0)) is F.broadcast
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 5000)
+    assert D.fitting(w) is None
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 1 << 20)
+    monkeypatch.setattr(D, "BROADCAST_WINDOWS", 4)
+    assert D.fitting(w) is None
+
+
 def found_licenses(text, templates, threshold):
     w = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower()) if x]
     pairs = list(zip(w, w[1:]))
