@@ -6,7 +6,8 @@ the covering radius of exactly one codeword in each block. If two fingerprints d
 point between them is within t // 2 bits of one and the rest of the other; the anchor of that point lies
 within covering radius plus share of the threshold of both. Each distinct fingerprint is therefore
 replicated to all anchors that lie, block by block, within three bits plus, over both blocks, t - t // 2 more, and fingerprints
-are compared on all 64 bits per anchor. Copies have one fingerprint and are replicated once.
+are compared on all 64 bits per anchor. Copies have one fingerprint and are replicated once. A crowded anchor is dealt
+into parts of bounded size, and every two parts are a task's work of their own.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from . import shared
 BITS = 3
 SHINGLE = 3
 LENGTH = 23
+#: Fingerprints of one part of an anchor; crowded anchors whose numbers of parts are sent to every executor (beyond it they are joined).
+CROWD, BROADCAST_ANCHORS = 1 << 16, 1_000_000
 #: Generator polynomial of the Golay code.
 GENERATOR = 0b110001110101
 
@@ -137,8 +140,11 @@ class Covering:
         return np.concatenate(rows), np.concatenate(anchors)
 
 
-def linked(anchor: np.ndarray, fp: np.ndarray, bits: int, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning pairs (fingerprint, smallest one joined to it) among fingerprints of equal anchors (sorted) within bits."""
+def linked(anchor: np.ndarray, fp: np.ndarray, bits: int, block: int = 2048, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning pairs (fingerprint, smallest one joined to it) among fingerprints of equal anchors (sorted) within bits.
+
+    Where some fingerprints of an anchor are of a second side, it is enough to compare the sides with each other.
+    """
     nodes, ix = np.unique(fp, return_inverse=True)
     cut = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     size = np.diff(np.r_[cut, len(anchor)])
@@ -156,10 +162,13 @@ def linked(anchor: np.ndarray, fp: np.ndarray, bits: int, block: int = 2048) ->
     label = shared.forest(len(nodes), np.concatenate(a_) if a_ else np.zeros(0, int), np.concatenate(b_) if b_ else np.zeros(0, int))
     for c, n in zip(cut[big], size[big]):
         f, g = fp[c : c + n], ix[c : c + n]
-        for i in range(0, n, block):
-            for j in range(i, n, block):
-                x, y = np.nonzero(np.bitwise_count(f[i : i + block, None] ^ f[None, j : j + block]) <= bits)
-                p, q = label[g[i + x]], label[g[j + y]]
+        far = second[c : c + n] if second is not None else np.zeros(n, bool)
+        sides = far.any()
+        (f, f2), (g, g2) = ((f[~far], f[far]), (g[~far], g[far])) if sides else ((f, f), (g, g))
+        for i in range(0, len(f), block):
+            for j in range(0 if sides else i, len(f2), block):
+                x, y = np.nonzero(np.bitwise_count(f[i : i + block, None] ^ f2[None, j : j + block]) <= bits)
+                p, q = label[g[i + x]], label[g2[j + y]]
                 apart = p != q
                 if apart.any():
                     label = shared.forest(len(nodes), p[apart], q[apart])[label]
@@ -167,7 +176,7 @@ def linked(anchor: np.ndarray, fp: np.ndarray, bits: int, block: int = 2048) ->
     return nodes[moved], nodes[label[moved]]
 
 
-def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
+def links(fps: DataFrame, bits: int = BITS, crowd: int = CROWD) -> DataFrame:
     """Pairs (a, b) of the distinct values of column fp that connect all those within bits of each other; as many as needed for the components, not all."""
     spark = fps.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
@@ -181,28 +190,37 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), pa.array(v[row].view(np.int64))], ["anchor", "fp"])
 
     def compare(batches):
-        kept_a, kept_f, n = [], [], 0
+        kept_a, kept_f, kept_s, n = [], [], [], 0
 
-        def done(a, f):
-            x, y = linked(a, f.view(np.uint64), bits)
+        def done(a, f, s):
+            x, y = linked(a, f.view(np.uint64), bits, second=s)
             return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
 
         for b in batches:
             kept_a.append(b.column(0).to_numpy())
             kept_f.append(b.column(1).to_numpy())
+            kept_s.append(b.column(2).to_numpy(zero_copy_only=False))
             n += b.num_rows
             if n >= 1 << 18:
-                a, f = np.concatenate(kept_a), np.concatenate(kept_f)
+                a, f, s = np.concatenate(kept_a), np.concatenate(kept_f), np.concatenate(kept_s)
                 whole = int(np.searchsorted(a, a[-1]))  # the last anchor may go on
                 if whole:
-                    yield done(a[:whole], f[:whole])
-                    a, f = a[whole:], f[whole:]
-                kept_a, kept_f, n = [a], [f], len(a)
+                    yield done(a[:whole], f[:whole], s[:whole])
+                    a, f, s = a[whole:], f[whole:], s[whole:]
+                kept_a, kept_f, kept_s, n = [a], [f], [s], len(a)
         if n:
-            yield done(np.concatenate(kept_a), np.concatenate(kept_f))
-
-    spread = fps.select("fp").distinct().mapInArrow(replicate, "anchor int, fp long")
-    return spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long").distinct()
+            yield done(np.concatenate(kept_a), np.concatenate(kept_f), np.concatenate(kept_s))
+
+    spread = shared.written(fps.select("fp").distinct(), "fingerprints").mapInArrow(replicate, "anchor int, fp long")
+    # fingerprints are replicated twice, once to find crowded anchors; only those are dealt into parts, by a hash
+    crowded = shared.written(spread.groupBy("anchor").count().where(F.col("count") > crowd).select("anchor", F.ceil(F.col("count") / crowd).alias("parts")), "crowded")
+    few = F.broadcast if crowded.limit(BROADCAST_ANCHORS + 1).count() <= BROADCAST_ANCHORS else (lambda x: x)
+    dealt = spread.join(few(crowded), "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    dealt = dealt.withColumn("p", F.pmod(F.xxhash64("fp"), "parts")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    # an anchor has 24 bits, a part 20
+    cell = F.shiftleft(F.col("anchor").cast("long"), 40).bitwiseOR(F.shiftleft(F.least("p", "q"), 20)).bitwiseOR(F.greatest("p", "q"))
+    dealt = dealt.select(cell.alias("cell"), "fp", (F.col("p") > F.col("q")).alias("second"))
+    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long").distinct()
 
 
 def classes(fps: DataFrame, bits: int = BITS) -> DataFrame:

@@ -74,6 +74,28 @@ def test_one_crowded_anchor():
     assert got == want
 
 
+def test_crowded_anchors_are_dealt_into_parts(spark):
+    rnd = random.Random(9)
+    base = rnd.getrandbits(64)
+    fps = sorted({base ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 7))) for _ in range(1500)})
+    df = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
+    at = {signed(x): i for i, x in enumerate(fps)}
+    want = grouped(fps, 3)
+    assert 1 < len(set(want)) < len(fps)
+    for crowd in (S.CROWD, 150):
+        label = list(range(len(fps)))
+        pairs = [(at[r["a"]], at[r["b"]]) for r in S.links(df, crowd=crowd).collect()]
+        moved = True
+        while moved:
+            moved = False
+            for a, b in pairs:
+                low = min(label[a], label[b])
+                if (label[a], label[b]) != (low, low):
+                    label[a] = label[b] = low
+                    moved = True
+        assert label == want
+
+
 def test_distinct(spark):
     rnd = random.Random(2)
     w = data.vocabulary(rnd, 300)
