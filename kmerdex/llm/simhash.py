@@ -211,7 +211,9 @@ def links(fps: DataFrame, bits: int = BITS, crowd: int = CROWD) -> DataFrame:
         if n:
             yield done(np.concatenate(kept_a), np.concatenate(kept_f), np.concatenate(kept_s))
 
-    spread = shared.written(fps.select("fp").distinct(), "fingerprints").mapInArrow(replicate, "anchor int, fp long")
+    # a task's fingerprints are few bytes that become many rows, so they are dealt to all tasks whatever their bytes
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    spread = fps.select("fp").repartition(tasks, "fp").distinct().mapInArrow(replicate, "anchor int, fp long")
     # fingerprints are replicated twice, once to find crowded anchors; only those are dealt into parts, by a hash
     crowded = shared.written(spread.groupBy("anchor").count().where(F.col("count") > crowd).select("anchor", F.ceil(F.col("count") / crowd).alias("parts")), "crowded")
     few = F.broadcast if crowded.limit(BROADCAST_ANCHORS + 1).count() <= BROADCAST_ANCHORS else (lambda x: x)
