@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import __version__
 from .operators import index as X
 from .operators import mst, stats, validate
-from .operators.query import named, num_kmers, query
+from .operators.query import named, num_kmers, query, touched
 from .operators.tables import stored
 from .sources import io
 
@@ -95,13 +95,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if a.class_distribution:
             index.color_classes.select("color_id", "abundance").write.mode("overwrite").csv(f"{a.output}/class_distribution", sep="\t")
         return 0
-    index, tree = io.load_index(spark, a.index_prefix)
+    # a query through the tree decodes only the classes that it meets
+    index, tree = io.load_index(spark, a.index_prefix, decoded=a.verb != "query" or a.use_classes)
     if a.verb == "mst":
         tree = stored(mst.encode(index), "tree")
         io.save_tree(index, a.index_prefix, tree, a.keep_classes)
     elif a.verb == "query":
         queries = io.read_sequences(spark, a.file, a.format)
-        classes = index.color_classes if a.use_classes or tree is None else mst.decode(tree)
+        classes = index.color_classes if a.use_classes or tree is None else mst.decode(tree, touched(index, queries))
         answer = named(query(index, queries, a.k, classes), index.experiments)
         head = num_kmers(queries, a.k or index.k)
         if not a.json and a.k and a.k > index.k:  # there a text header has the length of the sequence

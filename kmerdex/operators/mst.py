@@ -140,8 +140,23 @@ def encode(index: Index, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     return a.select("color_id", "parent_id", "weight", difference(F.col("samples"), F.coalesce("up", F.array().cast("array<int>"))).alias("delta"))
 
 
-def decode(color_mst: DataFrame) -> DataFrame:
-    """(color_id, samples) of all classes, by pointer jumping: the way to the root halves with each round."""
+def ways(color_mst: DataFrame, colors: DataFrame) -> DataFrame:
+    """The rows of color_mst on the ways from colors (color_id) to the root.
+
+    Round i adds what lies 2^i steps above all that is found; rounds grow with the logarithm of the depth and move pairs of ids only.
+    """
+    found = stored(colors.select("color_id").distinct().join(color_mst.select("color_id"), "color_id", "left_semi"), "ways")
+    above = stored(color_mst.where(F.col("parent_id") != ROOT).select("color_id", F.col("parent_id").alias("up")), "above")
+    while not above.isEmpty():
+        found = stored(found.union(found.join(above, "color_id").select("up")).distinct(), "ways")
+        above = stored(above.join(above.select(F.col("color_id").alias("up"), F.col("up").alias("far")), "up").select("color_id", F.col("far").alias("up")), "above")
+    return color_mst.join(found, "color_id", "left_semi")
+
+
+def decode(color_mst: DataFrame, colors: DataFrame | None = None) -> DataFrame:
+    """(color_id, samples) of all classes, or of colors (color_id) and what lies above them, by pointer jumping: the way to the root halves with each round."""
+    if colors is not None:
+        color_mst = ways(color_mst, colors)
     at = stored(color_mst.select("color_id", F.col("parent_id").alias("up"), F.col("delta").alias("samples")), "jump")
     while not at.where(F.col("up") != ROOT).isEmpty():
         far = at.select(F.col("color_id").alias("up"), F.col("up").alias("up2"), F.col("samples").alias("more"))

@@ -25,6 +25,11 @@ def total_kmers(queries: DataFrame, k: int) -> DataFrame:
     return num_kmers(queries, k).agg(F.coalesce(F.sum("num_kmers"), F.lit(0)).alias("total"))
 
 
+def touched(index: Index, queries: DataFrame) -> DataFrame:
+    """The distinct color_ids of the queries' k-mers at the index's k, which are also those of all constituents of longer ones."""
+    return query_kmers(queries, index.k).select("kmer").distinct().join(index.dbg, "kmer").select("color_id").distinct()
+
+
 def query(index: Index, queries: DataFrame, k: int | None = None, classes: DataFrame | None = None) -> DataFrame:
     """(qid, sample_id, n): n > 0 distinct k-mers of the query are in the sample.
 

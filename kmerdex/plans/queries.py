@@ -262,7 +262,8 @@ def query_larger(spark, sf_dir):
 
 @_both("query_via_mst", f"WITH {_index(_talks, GRAPH_K)}, {_kmers('a', _ask, 'qid', GRAPH_K)}, {_result} SELECT qid, sample_id, n FROM res")
 def query_via_mst(spark, sf_dir):
-    return query.query(talk_index(spark, sf_dir), fx.questions(spark, sf_dir), classes=mst.decode(talk_tree(spark, sf_dir)))
+    index, asked = talk_index(spark, sf_dir), fx.questions(spark, sf_dir)
+    return query.query(index, asked, classes=mst.decode(talk_tree(spark, sf_dir), query.touched(index, asked)))
 
 
 # --- multisets: k-mers of user turns (a) and of all other turns (b) -----------------------------------

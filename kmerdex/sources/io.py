@@ -117,8 +117,8 @@ def save_index(index: Index, path: str, color_mst: DataFrame | None = None, keep
     save_meta(index.dbg.sparkSession, path, (build or {}) | {"ended": _now(), "k": index.k, "classes": keep_classes, "mst": color_mst is not None}, "overwrite")
 
 
-def load_index(spark: SparkSession, path: str) -> tuple[Index, DataFrame | None]:
-    """The index and its tree, if it has one; without stored classes they are decoded from the tree."""
+def load_index(spark: SparkSession, path: str, decoded: bool = True) -> tuple[Index, DataFrame | None]:
+    """The index and its tree, if it has one; classes that are not stored are decoded from the tree, or None if they need not be."""
     from ..operators.mst import decode
 
     meta = read_meta(spark, path)
@@ -126,6 +126,8 @@ def load_index(spark: SparkSession, path: str) -> tuple[Index, DataFrame | None]
     dbg = spark.read.parquet(f"{path}/dbg")
     if meta["classes"]:
         classes = spark.read.parquet(f"{path}/color_classes")
+    elif not decoded:
+        classes = None
     else:
         counts = dbg.groupBy("color_id").agg(F.count("*").alias("abundance"))
         classes = decode(tree).join(counts, "color_id").select("color_id", "samples", "abundance")

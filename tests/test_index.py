@@ -130,8 +130,24 @@ def test_tree(data, weighted):
 def test_query_through_tree(data, asked):
     index = data[2]
     a = query.query(index, asked[1]).collect()
-    b = query.query(index, asked[1], classes=mst.decode(mst.encode(index))).collect()
-    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+    tree = tables.stored(mst.encode(index))
+    met = query.touched(index, asked[1])
+    for classes in (mst.decode(tree), mst.decode(tree, met)):
+        b = query.query(index, asked[1], classes=classes).collect()
+        assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+    none = asked[1].limit(0)
+    assert query.query(index, none, classes=mst.decode(tree, query.touched(index, none))).count() == 0
+
+
+def test_ways_to_the_root(spark):
+    # a path of 20 colors beside a star; color n of the path has n + 1 above it, the root included
+    rows = [(i, i - 1 if i else mst.ROOT, 1, [i]) for i in range(20)] + [(i, mst.ROOT, 1, [i]) for i in range(50, 60)]
+    tree = spark.createDataFrame(rows, "color_id long, parent_id long, weight int, delta array<int>")
+    for wanted, want in (([13], set(range(14))), ([0], {0}), ([55, 4, 2], {0, 1, 2, 3, 4, 55}), ([], set()), ([99, None], set())):
+        colors = spark.createDataFrame([(c,) for c in wanted + wanted], "color_id long")
+        assert sorted(r["color_id"] for r in mst.ways(tree, colors).collect()) == sorted(want)
+    decoded = {r["color_id"]: r["samples"] for r in mst.decode(tree, spark.createDataFrame([(7,), (55,)], "color_id long")).collect()}
+    assert decoded[7] == list(range(8)) and decoded[55] == [55] and len(decoded) == 9
 
 
 def test_statistics(data):
