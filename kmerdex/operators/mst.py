@@ -15,7 +15,7 @@ from pyspark.sql.types import IntegerType, StructType
 
 from ..functions.kmers import neighbors
 from .index import Index
-from .tables import components, stored
+from .tables import components, numbered, stored
 
 ROOT = -1
 #: Edges that the driver takes.
@@ -120,15 +120,28 @@ def _boruvka(edges: DataFrame) -> DataFrame:
 
 
 def rooted(tree: DataFrame) -> DataFrame:
-    """(color_id, parent_id, weight) of every color, away from the root, level by level."""
-    both = stored(tree.select("u", "v", "w").union(tree.select("v", "u", "w")), "links")
-    done = both.where(F.col("u") == ROOT).select(F.col("v").alias("color_id"), F.col("u").alias("parent_id"), F.col("w").alias("weight"))
-    done = level = stored(done, "level")
-    while not level.isEmpty():
-        next_ = both.join(level.select(F.col("color_id").alias("u"), F.col("parent_id").alias("from")), "u").where(F.col("v") != F.col("from"))
-        level = stored(next_.select(F.col("v").alias("color_id"), F.col("u").alias("parent_id"), F.col("w").alias("weight")), "level")
-        done = done.union(level)
-    return stored(done, "rooted")
+    """(color_id, parent_id, weight) of every color that hangs on the root.
+
+    The tour around the tree passes each edge twice, first away from the root; an edge's two places in it tell the parent. After (u, v) it takes
+    the arc that follows (v, u) among those of v, in a circle, and it ends before the root's first arc. Places are found by pointer
+    jumping: rounds grow with the logarithm of the edges, however deep the tree is, and no arc has more than one before it, so no key is hot.
+    """
+    arcs = stored(numbered(tree.select("u", "v", "w").union(tree.select("v", "u", "w")), "arc", F.col("u"), F.col("v")), "arcs")
+    back = arcs.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("arc").alias("back"))
+    ends = arcs.groupBy("u").agg(F.min("arc").alias("first"), F.max("arc").alias("last")).withColumnRenamed("u", "v")
+    arcs = arcs.join(back, ["u", "v"]).join(ends, "v")
+    after = F.when(F.col("back") < F.col("last"), F.col("back") + 1).when(F.col("v") != ROOT, F.col("first"))
+    arcs = stored(arcs.select("arc", "back", "u", "v", "w", after.alias("next")), "tour")
+    at = stored(arcs.select("arc", "next", F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("left")), "places")
+    n, steps = arcs.count(), 1
+    while steps < n and not at.where("next IS NOT NULL").isEmpty():
+        far = at.select(F.col("arc").alias("next"), F.col("next").alias("next2"), F.col("left").alias("more"))
+        going = at.where("next IS NOT NULL").join(far, "next").select("arc", F.col("next2").alias("next"), (F.col("left") + F.col("more")).alias("left"))
+        at = stored(at.where("next IS NULL").union(going), "places")
+        steps *= 2
+    at = at.where("next IS NULL")  # a circle apart from the root never ends
+    down = arcs.drop("next").join(at.select("arc", "left"), "arc").join(at.select(F.col("arc").alias("back"), F.col("left").alias("less")), "back").where("left > less")
+    return stored(down.select(F.col("v").alias("color_id"), F.col("u").alias("parent_id"), F.col("w").alias("weight")), "rooted")
 
 
 def encode(index: Index, driver_edges: int = DRIVER_EDGES) -> DataFrame:

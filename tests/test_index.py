@@ -120,6 +120,7 @@ def test_tree(data, weighted):
     small = mst.spanning_tree(weighted)
     large = mst.spanning_tree(weighted, driver_edges=1)
     assert {tuple(r) for r in small.collect()} == {tuple(r) for r in large.collect()} == set(want)
+    assert {tuple(r) for r in mst.rooted_tree(weighted, driver_edges=1).collect()} == {tuple(r) for r in mst.rooted_tree(weighted).collect()}
     tree = tables.stored(mst.encode(index))
     assert tree.count() == index.color_classes.count()
     assert tree.agg(F.sum("weight")).first()[0] == sum(w for _, _, w in want)
@@ -192,3 +193,15 @@ def test_damaged_tree(spark):
     for _ in range(index.color_classes.count()):
         below |= {r["color_id"] for r in tree.collect() if r["parent_id"] in below}
     assert wrong == below
+
+
+@pytest.mark.parametrize("shape", ["path", "star", "random", "none"])
+def test_rooting(spark, shape):
+    draw = random.Random(3)
+    n = 0 if shape == "none" else 200
+    above = {v: {"path": v - 1, "star": -1, "random": draw.randrange(-1, v)}[shape] for v in range(n)}
+    name = {-1: -1} | dict(zip(range(n), draw.sample(range(n), n)))  # a parent's id may be the larger one
+    expected = {(name[v], name[u], v % 7) for v, u in above.items()}
+    edges = [(min(a, b), max(a, b), w) for a, b, w in expected] + [(1000, 1001, 1), (1001, 1002, 1)] * (n > 0)  # the last are not joined to the root
+    got = mst.rooted(spark.createDataFrame(edges, "u long, v long, w int")).collect()
+    assert len(got) == n and {tuple(r) for r in got} == expected
