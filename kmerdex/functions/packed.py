@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kmers as K
@@ -105,17 +105,15 @@ def summed(df: DataFrame, seq: str, k: int, *keep: str) -> DataFrame:
 def among(df: DataFrame, seq: str, k: int, words: DataFrame, *keep: str) -> DataFrame:
     """(keep, kmer): the windows that kmers.kmers cuts and that are among words (kmer); others are dropped where they are cut, if words can be broadcast."""
     few = F.broadcast if words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS else (lambda x: x)
+    words = words.select("kmer").where(F.length("kmer") == k).distinct()
     if k > LONGEST:
-        return K.kmers(df, seq, k, *keep).select(*keep, "kmer").join(few(words.select("kmer")), "kmer", "left_semi")
+        return K.kmers(df, seq, k, *keep).select(*keep, "kmer").join(few(words), "kmer", "left_semi")
     _fits(k)
 
     def numbers(data, begin):
         number, text = cut(data, begin, k)
         return text, [number]
 
-    def number(word: Column) -> Column:
-        return K.pack(word).cast("long")
-
-    every = _mapped(df, seq, keep, numbers, "_number long")
-    found = every.join(few(words.where(F.length("kmer") == k).select(number(F.col("kmer")).alias("_number"))), "_number", "left_semi")
-    return found.select(*keep, K.unpack(F.col("_number"), k).alias("kmer"))
+    # the word's text comes from words: made of the number, it would be made for every window where a later join on it is pushed down
+    numbered = words.select("kmer", K.pack(F.col("kmer")).cast("long").alias("_number"))
+    return _mapped(df, seq, keep, numbers, "_number long").join(few(numbered), "_number").select(*keep, "kmer")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kmers import kmers
+from ..functions.packed import among
 from .tables import numbered, stored
 
 
@@ -87,13 +88,21 @@ def build_index(sample_kmers: DataFrame, experiments: DataFrame, k: int) -> Inde
     return Index(k, dbg, found.select("color_id", "samples", "abundance"), experiments)
 
 
-def index_reads(reads: DataFrame, k: int, seq: str = "seq", sample: str = "sample", cutoff: int = 1) -> Index:
-    """The index of reads (sample, seq)."""
+def index_reads(reads: DataFrame, k: int, seq: str = "seq", sample: str = "sample", cutoff: int = 1, only: DataFrame | None = None) -> Index:
+    """The index of reads (sample, seq).
+
+    With only (kmer), it is built for these k-mers alone, and others are dropped where they are cut: every read is read, and queries of these k-mers
+    get the answers of the whole index, as a k-mer's set of samples does not depend on other k-mers. Color ids are ranks among the sets that are left.
+    """
     experiments = stored(number_samples(reads, sample), "experiments")
     # the names go to the reads wherever their number allows; a sample may have any share of the reads
     fit = F.broadcast if experiments.count() <= BROADCAST_SAMPLES else (lambda x: x)
     named = reads.join(fit(experiments.select(F.col("sample").alias(sample), "sample_id")), sample).select("sample_id", seq)
-    counted = count_kmers(named, k, seq, "sample_id", cutoff) if cutoff > 1 else kmers(named, seq, k, "sample_id").select("sample_id", "kmer")
+    if only is not None:
+        found = among(named, seq, k, only, "sample_id")
+        counted = found.groupBy("sample_id", "kmer").agg(F.count("*").alias("count")).where(F.col("count") >= cutoff) if cutoff > 1 else found
+    else:
+        counted = count_kmers(named, k, seq, "sample_id", cutoff) if cutoff > 1 else kmers(named, seq, k, "sample_id").select("sample_id", "kmer")
     return build_index(counted, experiments, k)
 
 

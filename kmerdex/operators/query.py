@@ -62,5 +62,7 @@ def named(result: DataFrame, experiments: DataFrame) -> DataFrame:
 
 
 def ground_truth(sample_kmers: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """As query(), straight from (sample_id, kmer) rows."""
-    return query_kmers(queries, k).join(sample_kmers.select("sample_id", "kmer").distinct(), "kmer").groupBy("qid", "sample_id").agg(F.count("*").alias("n"))
+    """As query(), straight from (sample_id, kmer) rows; rows that no query asks for are left out before repeated ones are looked for."""
+    asked = query_kmers(queries, k)
+    held = sample_kmers.select("sample_id", "kmer").join(asked.select("kmer").distinct(), "kmer", "left_semi").distinct()
+    return asked.join(held, "kmer").groupBy("qid", "sample_id").agg(F.count("*").alias("n"))

@@ -1,10 +1,13 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from kmerdex.functions import kmers as K
 from kmerdex.functions import packed as P
+from kmerdex.operators import index as X
+from kmerdex.operators import query, tables
 from kmerdex.plans import queries as Q
 from kmerdex.sources import fixtures as fx
 
@@ -60,3 +63,33 @@ def test_kmer_extract_of_repeated_ids_and_long_texts(spark, tmp_path, monkeypatc
         got = Q.kmer_extract(spark, str(tmp_path))
         assert got.columns == ["doc_id", "n_windows", "n_kmers", "least", "greatest"]
         assert got.count() == len(want) and set(map(tuple, got.collect())) == want
+
+
+def test_an_index_of_given_words_answers_like_the_whole(spark):
+    rnd = random.Random(8)
+    reads = [(f"s{i % 7}", brute.sequence(rnd, 60)) for i in range(40)] + [("none", "ACG"), (None, "ACGTACGTACGT")]
+    asked = spark.createDataFrame([(i, reads[3 * i][1][5:40]) for i in range(9)] + [(9, "N"), (10, "A" * 20)], "qid int, seq string")
+    df = spark.createDataFrame(reads, "sample string, seq string")
+    words = query.query_kmers(asked, 5).select("kmer").distinct()
+    for cutoff in (1, 3):
+        whole, part = X.index_reads(df, 5, cutoff=cutoff), X.index_reads(df, 5, cutoff=cutoff, only=words)
+        want = sorted(map(tuple, query.query(whole, asked).collect()))
+        assert want and sorted(map(tuple, query.query(part, asked).collect())) == want
+        assert sorted(map(tuple, query.query(part, asked, 9).collect())) == sorted(map(tuple, query.query(whole, asked, 9).collect()))
+        assert part.dbg.count() < whole.dbg.count() and part.experiments.count() == whole.experiments.count()
+
+
+def test_validate_index_writes_no_word_that_is_not_asked_for(spark, tmp_path):
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice("abcdefgh") for _ in range(400)) for _ in range(40)]
+    spark.createDataFrame([(t, f"s{i % 3}") for i, t in enumerate(texts)] + [(None, "s0"), (texts[0], None)], "text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, t[:60]) for i, t in enumerate(texts[:5])] + [(9, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = set(Path(tables.folder(spark)).glob("sets-*"))
+    found = {(r["qid"], r["sample_id"]): (r["expected"], r["found"]) for r in Q.validate_index(spark, str(tmp_path)).collect()}
+    made = set(Path(tables.folder(spark)).glob("sets-*")) - before
+    assert 0 < sum(spark.read.parquet(str(p)).count() for p in made) <= 5 * 40
+    asked = K.kmers(fx.questions(spark, str(tmp_path)), "seq", Q.DOCS_K, "qid").collect()
+    for q in range(5):
+        words = {r["kmer"] for r in asked if r["qid"] == q}
+        left = sum(not w.startswith("G") for w in words)
+        assert len(words) == 40 and found.get((q, q % 3)) == (None if left == 40 else (40, left or None))
