@@ -20,7 +20,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies: five-word shingles, similarity 0.8 or more. Rows with a null id stay; of rows repeated under one id all stay or none."""
+    """One document of each group of near-copies: texts that SimHash links (or MinHash bands, beyond its radius) are compared by five-word shingles, similarity 0.8 or more. Rows with a null id stay; of rows repeated under one id all stay or none."""
     return simhash.distinct(docs)
 
 

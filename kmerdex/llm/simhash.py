@@ -281,8 +281,24 @@ def bands(value: np.ndarray, begin: np.ndarray, n: int = BANDS, rows: int = ROWS
     return out
 
 
+def fingerprint_pairs(own: DataFrame, bits: int = BITS) -> DataFrame:
+    """(a, b): pairs of doc_ids that connect all texts whose fingerprints differ in at most so many bits, found by their anchors."""
+    spark = own.sparkSession
+    fps = shared.written(fingerprints(own.select("doc_id", "text")).select("doc_id", "fp"), "fingerprints")
+    first = shared.written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "values")
+    met = shared.written(links(first, bits), "met")
+    shared.tune(spark)  # texts follow fingerprints
+    equal = fps.join(first, "fp").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    a, b = first.select(F.col("fp").alias("a"), F.col("least").alias("x")), first.select(F.col("fp").alias("b"), F.col("least").alias("y"))
+    return equal.unionByName(met.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))).where("a <> b")
+
+
 def clusters(own: DataFrame, words: int) -> DataFrame:
-    """(id, cluster): texts that share a band with another, directly or by way of others. Bands are grouped by their smallest id, so no group is gathered."""
+    """(id, cluster): texts that SimHash links, or that share a band with another, directly or by way of others.
+
+    Fingerprints are those of op6, linked through the same anchors; bands find the texts that are alike though their fingerprints are not.
+    Bands are grouped by their smallest id, so no group is gathered.
+    """
 
     def keys(batches):
         for b in batches:
@@ -293,7 +309,7 @@ def clusters(own: DataFrame, words: int) -> DataFrame:
 
     keyed = shared.written(own.select("doc_id", "text").mapInArrow(keys, "key long, id long"), "bands")
     least = keyed.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("z")).where("b < z").select("key", "b")
-    pairs = keyed.join(least, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    pairs = keyed.join(least, "key").where("id <> b").select(F.col("id").alias("a"), "b").unionByName(fingerprint_pairs(own)).distinct()
     return shared.written(shared.components(shared.written(pairs, "links")).select(F.col("node").alias("id"), F.col("component").alias("cluster")), "clusters")
 
 
@@ -379,8 +395,8 @@ def distinct(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     """docs (columns doc_id, a long, and text) without copies and near-copies; of each group the smallest doc_id stays.
 
     Copies have the same text (by SHA-256). Near-copies have sets of runs of so many words (A-Z lower-cased, as
-    64-bit hashes) with that Jaccard similarity; groups are what such pairs connect. MinHash bands over
-    these sets only put texts into clusters; inside a cluster all pairs are compared. Null and empty texts are copies
+    64-bit hashes) with that Jaccard similarity; groups are what such pairs connect. SimHash links (fingerprints within
+    BITS bits, by their anchors) and, for texts alike beyond that radius, MinHash bands over these sets put texts into clusters; inside a cluster all pairs are compared. Null and empty texts are copies
     of their like; rows with a null doc_id stay; of rows repeated under one doc_id all stay or none.
     """
     shared.tune(docs.sparkSession)

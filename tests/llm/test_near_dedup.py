@@ -3,6 +3,7 @@ import random
 from kmerdex.llm import simhash as S
 
 from . import data
+from .test_simhash import fingerprint
 
 
 def runs(t, n=5):
@@ -79,3 +80,19 @@ def test_near_copies_far_apart_in_bits(spark):
     assert want == set(range(0, 240, 2))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"] for r in S.distinct(docs).collect()} == want
+
+
+def test_texts_that_only_fingerprints_link(spark):
+    """One line over and over rules the fingerprints of two texts that have little else in common."""
+    rnd = random.Random(12)
+    w = data.vocabulary(rnd, 5000)
+    texts = []
+    for _ in range(12):
+        line = [rnd.choice(w) for _ in range(11)] * 40
+        texts += [" ".join(line + [rnd.choice(w) for _ in range(400)]) for _ in range(2)]
+    apart = [(fingerprint(texts[i]) ^ fingerprint(texts[i + 1])).bit_count() for i in range(0, 24, 2)]
+    near = {2 * i for i, x in enumerate(apart) if x <= S.BITS}
+    assert len(near) > 5 and any(apart[i // 2] for i in near)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in S.distinct(docs, similarity=0.01).collect()} == set(range(24)) - {i + 1 for i in near}
+    assert S.distinct(docs).count() == 24  # the exact check follows
