@@ -18,6 +18,8 @@ Nothing is decided by hashes: they propose owners, automata over the words thems
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -86,7 +88,7 @@ class Automaton:
         return out
 
 
-def shards(passages: list[list[bytes]], window: int, most: int):
+def shards(passages: Iterable[list[bytes]], window: int, most: int):
     """Sequences of at most about most words that have every window of the passages; passages are kept apart by numbers."""
     part: list = []
     for i, words in enumerate(passages):
@@ -169,15 +171,15 @@ def _matched(batches, window, gram, next_round, most):
     """For each passage: spans [s, e) of words that are covered by its owner's windows, and anchors of the next round for windows that aren't.
 
     Rows are sorted by (owner, salt), the owner's own passages (probe is false) before those that are streamed through its automaton.
+    A batch is held as bytes: passages are split one at a time, and hashed a slice at a time, as copies of a long text fill a batch.
     """
+    kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
     now, refs, auto = None, [], None
     for b in batches:
         owner, salt, probe, ids, th, start, body = b.columns
         keys = list(zip(owner.to_pylist(), salt.to_pylist(), probe.to_pylist()))
         n = b.num_rows
-        at: list = []
-        spans: list = []
-        misses: list = []
+        covered: list = [None] * n
         lo = 0
         while lo < n:
             hi = lo
@@ -185,31 +187,40 @@ def _matched(batches, window, gram, next_round, most):
                 hi += 1
             if keys[lo][:2] != now:
                 now, refs, auto = keys[lo][:2], [], None
-            split = [x.split() for x in body.slice(lo, hi - lo).to_pylist()]
             if not keys[lo][2]:
-                refs += split
+                refs += body.slice(lo, hi - lo).to_pylist()
                 lo = hi
                 continue
-            covered = [np.zeros(max(0, len(x) - window + 1), bool) for x in split]
+            # a shard of one part keeps its automaton for the batches to come, of several each goes before the next is built
+            parts = [None] if auto is not None else shards((x.split() for x in refs), window, most)
             count = 0
-            for a in [auto] if auto is not None else map(Automaton, shards(refs, window, most)):
+            for part in parts:
                 count += 1
-                for x, c in zip(split, covered):
-                    c[np.array(a.ends(x, window), np.int64) - (window - 1)] = True
-            auto = a if count == 1 else None  # noqa: F821
-            got = shared.Words(body.slice(lo, hi - lo).cast(pa.binary()))
+                if part is not None:
+                    auto = None
+                    auto = Automaton(part)
+                for i in range(lo, hi):
+                    x = body[i].as_py().split()
+                    if covered[i] is None:
+                        covered[i] = np.zeros(max(0, len(x) - window + 1), bool)
+                    covered[i][np.array(auto.ends(x, window), np.int64) - (window - 1)] = True
+            auto = auto if count == 1 else None
+            lo = hi
+        first = 0
+        for rows, texts in shared.slices([pa.RecordBatch.from_arrays([probe, ids, th, start, body.cast(pa.binary())], ["probe", "id", "th", "start", "body"])], 4):
+            at = pa.array(np.flatnonzero(rows.column(0).to_numpy(zero_copy_only=False)))
+            hits = [covered[first + i] for i in at.to_pylist()]
+            first += rows.num_rows
+            rows, got = rows.take(at), shared.Words(texts.take(at))
             where, key = windows(got, window, gram, next_round)
-            first = np.searchsorted(got.row[where], np.arange(hi - lo + 1))
-            for i, c in enumerate(covered):
+            bounds = np.searchsorted(got.row[where], np.arange(len(hits) + 1))
+            spans: list = []
+            misses: list = []
+            for i, (c, base) in enumerate(zip(hits, rows.column(3).to_pylist())):
                 edge = np.flatnonzero(np.diff(np.r_[False, c, False].astype(np.int8)))
-                base = start[lo + i].as_py()
-                at.append(lo + i)
                 spans.append([{"s": base + int(s), "e": base + int(e) + window - 1} for s, e in zip(edge[::2], edge[1::2])])
-                misses.append(np.unique(key[first[i] : first[i + 1]][~c]))
-            lo = hi
-        kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-        take = pa.array(at, pa.int64())
-        yield pa.RecordBatch.from_arrays([ids.take(take), th.take(take), pa.array(spans, kind), pa.array(misses, pa.list_(pa.int64()))], ["id", "th", "spans", "missed"])
+                misses.append(np.unique(key[bounds[i] : bounds[i + 1]][~c]))
+            yield pa.RecordBatch.from_arrays([rows.column(1), rows.column(2), pa.array(spans, kind), pa.array(misses, pa.list_(pa.int64()))], ["id", "th", "spans", "missed"])
 
 
 def _dealt(cut: DataFrame, probes: int) -> DataFrame:

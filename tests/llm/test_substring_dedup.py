@@ -1,6 +1,8 @@
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from kmerdex.llm import substring_dedup as S
@@ -65,3 +67,24 @@ def test_automaton():
 
 def test_empty(spark):
     assert S.remove_repeats(data.documents(spark).limit(0)).count() == 0
+
+
+def test_memory_of_a_batch_of_long_copies(monkeypatch):
+    """300 copies of a passage of 4,000 words, 9 MB: their words and hashes are not held all at once."""
+    monkeypatch.setattr(S.shared, "_POWERS", {})
+    w = data.vocabulary(random.Random(2), 3000)
+    text = " ".join(w[i % len(w)] + "x" * (i // len(w)) for i in range(4000)).encode()
+    edited = text.split()
+    edited[2000] = b"NEW"
+    bodies = [text] + [text] * 299 + [b" ".join(edited)]
+    n = len(bodies)
+    columns = {"owner": [0] * n, "salt": [0] * n, "probe": [False] + [True] * (n - 1), "id": range(n), "th": [None] + [7] * (n - 1), "start": [None] + [5] * (n - 1), "body": bodies}
+    batch = pa.record_batch([pa.array(columns[c], t) for c, t in (("owner", pa.int64()), ("salt", pa.int32()), ("probe", pa.bool_()), ("id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("body", pa.binary()))], names=list(columns))
+    tracemalloc.start()
+    got = [r for b in S._matched([batch], 50, 30, 1, 200_000) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(r["id"], r["th"]) for r in got] == [(i, 7) for i in range(1, n)]
+    assert all(r["spans"] == [{"s": 5, "e": 4005}] and not r["missed"] for r in got[:-1])
+    assert got[-1]["spans"] == [{"s": 5, "e": 2005}, {"s": 2006, "e": 4005}] and len(got[-1]["missed"]) == 50
+    assert peak < 100e6, peak
