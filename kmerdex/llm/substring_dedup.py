@@ -33,6 +33,8 @@ GRAM = 30
 SHARD_WORDS = 200_000
 #: Passages that one copy of a shard is asked for, about; owners with more than that many which are broadcast at most.
 PROBES, BROADCAST_OWNERS = 256, 100_000
+#: Windows of a passage; longer runs are cut, so that the copies of a long document are dealt to salts, too, and a batch of passages is bounded.
+PIECE = 16_384
 
 
 class Automaton:
@@ -134,8 +136,8 @@ def _anchors(batches, window, gram, kind):
             yield pa.RecordBatch.from_arrays([pa.array(key[new]), rows.column(0).take(pa.array(row[new]))], ["key", "id"])
 
 
-def _passages(batches, window, gram, round_):
-    """Runs of windows of one owner, as (owner, id, th, start, body)."""
+def _passages(batches, window, gram, round_, piece=PIECE):
+    """Runs of windows of one owner, cut after piece windows, as (owner, id, th, start, body); every window is in one of them."""
     for b in batches:
         for rows, texts in shared.slices([b], 2):
             w = shared.Words(texts)
@@ -158,11 +160,11 @@ def _passages(batches, window, gram, round_):
                 code = np.where(hit, codes[i], -1)
                 edge = np.flatnonzero(np.r_[True, code[1:] != code[:-1], True])
                 for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                    if code[x] >= 0:
+                    for z in range(x, y, piece) if code[x] >= 0 else ():
                         index.append(r)
                         owners.append(whose[int(i[x])].as_py())
-                        start.append(int(a[x] - w.first[r]))
-                        body.append(raw[w.starts[a[x]] : w.ends[a[y - 1] + window - 1]])
+                        start.append(int(a[z] - w.first[r]))
+                        body.append(raw[w.starts[a[z]] : w.ends[a[min(z + piece, y) - 1] + window - 1]])
             take = pa.array(index, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(owners, rows.column(0).type), rows.column(0).take(take), rows.column(1).take(take), pa.array(start, pa.int32()), pa.array(body, pa.binary())], ["owner", "id", "th", "start", "body"])
 
@@ -236,7 +238,7 @@ def _dealt(cut: DataFrame, probes: int) -> DataFrame:
     return refs.unionByName(streamed).repartition("owner", "salt").sortWithinPartitions("owner", "salt", "probe")
 
 
-def spans(d: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS, probes: int = PROBES) -> DataFrame:
+def spans(d: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS, probes: int = PROBES, piece: int = PIECE) -> DataFrame:
     """(id, th, spans) for rows (id, th, text): spans of words covered by windows that a smaller id has."""
     spark = d.sparkSession
     shared.tune(spark)
@@ -247,7 +249,7 @@ def spans(d: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int
         owned = keys.groupBy("key").agg(F.min("id").alias("owner"), F.max("id").alias("top")).where("owner < top").select("key", "owner")
         marks = keys.join(owned, "key").groupBy("id").agg(F.collect_set(F.struct("key", "owner")).alias("m")).select("id", F.col("m.key").alias("keys"), F.col("m.owner").alias("owners"))
         at = round_
-        cut = d.join(marks, "id").select("id", "th", "text", "keys", "owners").mapInArrow(lambda b, at=at: _passages(b, window, gram, at), f"owner {kind}, id {kind}, th long, start int, body binary")
+        cut = d.join(marks, "id").select("id", "th", "text", "keys", "owners").mapInArrow(lambda b, at=at: _passages(b, window, gram, at, piece), f"owner {kind}, id {kind}, th long, start int, body binary")
         cut = shared.written(cut, "passages")
         got = _dealt(cut, probes).mapInArrow(lambda b, at=at: _matched(b, window, gram, at + 1, shard_words), f"id {kind}, th long, spans array<struct<s:int,e:int>>, missed array<long>")
         got = shared.written(got, "matched")
@@ -292,7 +294,7 @@ def _kept(texts: pa.Array, spans_: pa.Array) -> list[pa.Array]:
     return [text, pa.array(n), pa.array(n - left)]
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS, probes: int = PROBES) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS, probes: int = PROBES, piece: int = PIECE) -> DataFrame:
     """docs with columns kept_, n_words_, n_removed_ (and spans_, the removed spans, not merged).
 
     kept_ has the words not removed, joined by one space. Words are runs of anything but white space (0x20,
@@ -303,7 +305,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     shared.tune(docs.sparkSession)
     d = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
-    got = spans(d, window, gram, shard_words, probes).select(F.col("id").alias("id_"), F.col("th").alias("th_"), F.col("spans").alias("spans_"))
+    got = spans(d, window, gram, shard_words, probes, piece).select(F.col("id").alias("id_"), F.col("th").alias("th_"), F.col("spans").alias("spans_"))
     names = [c for c in docs.columns if c not in ("kept_", "n_words_", "n_removed_", "spans_")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row_"), F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("th"))
     both = rows.join(got, (F.col("id") == F.col("id_")) & (F.col("th") == F.col("th_")), "left")

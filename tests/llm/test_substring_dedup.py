@@ -88,3 +88,23 @@ def test_memory_of_a_batch_of_long_copies(monkeypatch):
     assert all(r["spans"] == [{"s": 5, "e": 4005}] and not r["missed"] for r in got[:-1])
     assert got[-1]["spans"] == [{"s": 5, "e": 2005}, {"s": 2006, "e": 4005}] and len(got[-1]["missed"]) == 50
     assert peak < 100e6, peak
+
+
+def test_passages_of_long_documents_are_cut():
+    w = data.vocabulary(random.Random(3), 3000)
+    words = [w[i % len(w)] + "x" * (i // len(w)) for i in range(40_000)]
+    text = pa.array([" ".join(words)])
+    keys = sorted(set(S.windows(S.shared.Words(text), 50, 30, 0)[1].tolist()))
+    row = [pa.array([9]), pa.array([7]), text, pa.array([keys]), pa.array([[3] * len(keys)])]
+    got = [r for b in S._passages([pa.RecordBatch.from_arrays(row, ["id", "th", "text", "keys", "owners"])], 50, 30, 0) for r in b.to_pylist()]
+    bodies = [r["body"].decode().split() for r in got]
+    assert all(len(x) < 20_000 and x == words[r["start"] : r["start"] + len(x)] for x, r in zip(bodies, got))
+    assert sorted(r["start"] + i for x, r in zip(bodies, got) for i in range(len(x) - 49)) == list(range(40_000 - 49))
+    assert {(r["owner"], r["id"], r["th"]) for r in got} == {(3, 9, 7)}
+
+
+def test_brute_force_with_cut_passages(spark):
+    docs = data.documents(spark)
+    want = brute({r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] is not None}, 50)
+    for r in S.remove_repeats(docs, shard_words=200, probes=2, piece=7).collect():
+        assert r["doc_id"] is None or (r["n_words_"], r["n_removed_"], r["kept_"]) == want[r["doc_id"]], r["doc_id"]
