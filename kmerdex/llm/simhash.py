@@ -281,14 +281,27 @@ def bands(value: np.ndarray, begin: np.ndarray, n: int = BANDS, rows: int = ROWS
     return out
 
 
-def fingerprint_pairs(own: DataFrame, bits: int = BITS) -> DataFrame:
-    """(a, b): pairs of doc_ids that connect all texts whose fingerprints differ in at most so many bits, found by their anchors."""
-    spark = own.sparkSession
-    fps = shared.written(fingerprints(own.select("doc_id", "text")).select("doc_id", "fp"), "fingerprints")
-    first = shared.written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "values")
+def signed(own: DataFrame, words: int) -> DataFrame:
+    """(id, fp, keys): fingerprint and band keys of each text, made in one pass over the texts."""
+
+    def signs(batches):
+        for b in batches:
+            for part, texts in shared.slices([b], 1):
+                fp = majority(*shingle_hashes(texts, SHINGLE)).view(np.int64)
+                k = bands(*run_sets(texts, words)).view(np.int64)
+                keys = pa.ListArray.from_arrays(np.arange(0, k.size + 1, k.shape[1], dtype=np.int32), pa.array(k.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp), keys], ["id", "fp", "keys"])
+
+    return own.select("doc_id", "text").mapInArrow(signs, "id long, fp long, keys array<long>")
+
+
+def fingerprint_pairs(fps: DataFrame, bits: int = BITS) -> DataFrame:
+    """(a, b): pairs of ids of rows (id, fp) that connect all those whose fingerprints differ in at most so many bits, found by their anchors."""
+    spark = fps.sparkSession
+    first = shared.written(fps.groupBy("fp").agg(F.min("id").alias("least")), "values")
     met = shared.written(links(first, bits), "met")
     shared.tune(spark)  # texts follow fingerprints
-    equal = fps.join(first, "fp").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    equal = fps.join(first, "fp").select(F.col("id").alias("a"), F.col("least").alias("b"))
     a, b = first.select(F.col("fp").alias("a"), F.col("least").alias("x")), first.select(F.col("fp").alias("b"), F.col("least").alias("y"))
     return equal.unionByName(met.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))).where("a <> b")
 
@@ -299,18 +312,11 @@ def clusters(own: DataFrame, words: int) -> DataFrame:
     Fingerprints are those of op6, linked through the same anchors; bands find the texts that are alike though their fingerprints are not.
     Bands are grouped by their smallest id, so no group is gathered.
     """
-
-    def keys(batches):
-        for b in batches:
-            for part, texts in shared.slices([b], 1):
-                k = bands(*run_sets(texts, words))
-                ids = part.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, k.shape[1]))], ["key", "id"])
-
-    keyed = shared.written(own.select("doc_id", "text").mapInArrow(keys, "key long, id long"), "bands")
+    signs = shared.written(signed(own, words), "signs")
+    keyed = signs.select(F.explode("keys").alias("key"), "id")
     least = keyed.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("z")).where("b < z").select("key", "b")
-    pairs = keyed.join(least, "key").where("id <> b").select(F.col("id").alias("a"), "b").unionByName(fingerprint_pairs(own)).distinct()
-    return shared.written(shared.components(shared.written(pairs, "links")).select(F.col("node").alias("id"), F.col("component").alias("cluster")), "clusters")
+    pairs = keyed.join(least, "key").where("id <> b").select(F.col("id").alias("a"), "b").unionByName(fingerprint_pairs(signs.select("id", "fp")))
+    return shared.components(pairs).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
 
 
 def alike(ids: np.ndarray, sets: list[np.ndarray], second: np.ndarray, whole: bool, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -403,8 +409,7 @@ def distinct(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     keyed = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha")).where("doc_id is not null")
     first = shared.written(keyed.groupBy("sha").agg(F.min("doc_id").alias("doc_id")), "first").select("doc_id").distinct()
     own = docs.select("doc_id", "text").join(first, "doc_id", "left_semi")
-    true = shared.written(near_pairs(own, words, similarity).distinct(), "alike")
-    later = shared.components(true).where("node > component").select(F.col("node").alias("doc_id"))
+    later = shared.components(near_pairs(own, words, similarity)).where("node > component").select(F.col("node").alias("doc_id"))
     stay = first.join(later, "doc_id", "left_anti").select(F.col("doc_id").alias("id_"))
     return docs.join(stay, F.col("doc_id") == F.col("id_"), "left_semi").unionByName(docs.where("doc_id is null"))
 

@@ -96,3 +96,17 @@ def test_texts_that_only_fingerprints_link(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"] for r in S.distinct(docs, similarity=0.01).collect()} == set(range(24)) - {i + 1 for i in near}
     assert S.distinct(docs).count() == 24  # the exact check follows
+
+
+def test_texts_are_signed_once(spark, monkeypatch):
+    """Fingerprints and bands come from one pass over the texts, and no pairs are written twice."""
+    texts = templated(random.Random(6), 20, 5) + ["", "one", "one"]
+    docs = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string")
+    names, written = [], S.shared.written
+    monkeypatch.setattr(S.shared, "written", lambda df, name: names.append(name) or written(df, name))
+    got = {r["doc_id"] for r in S.distinct(docs).collect()}
+    assert got == kept(texts)
+    assert [n for n in names if n != "edges"] == ["first", "signs", "values", "crowded", "met", "sets"]
+    signs = S.signed(docs, 5).collect()
+    assert {r["id"]: r["fp"] % (1 << 64) for r in signs} == {i: fingerprint(t) for i, t in [*enumerate(texts), (99, "")]}
+    assert all(len(r["keys"]) == S.BANDS for r in signs)
